@@ -92,6 +92,12 @@ def sampled_texts(documents: DataFrame, labels: DataFrame, label: str, train: Co
     return documents.select("doc_id", "text").join(F.broadcast(both), "doc_id").select("doc_id", "text", F.col("_y").cast("int").alias("y"))
 
 
+def share_of(labels: DataFrame, label: str, train: Column) -> float:
+    """The share of 1 among the training rows labelled 0 or 1; 0.5 without any."""
+    found = labels.where(train & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
+    return 0.5 if found is None else float(found)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b): root is the smallest node reachable.
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import chunks, crc_mod, sampled_texts
+from lattica.llm.common import chunks, crc_mod, sampled_texts, share_of
 
 LEVEL = 3
 DICTIONARY_BYTES = 112_640
@@ -78,15 +78,15 @@ class Scorer:
         return (b - g) / len(data), (b - g) / max(b, g), float(np.log(min(b, g) / len(data)))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton steps with a small ridge: (mean, scale, weights with the intercept last)."""
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted logistic regression by Newton steps with a small ridge: (mean, scale, weights with the intercept last)."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(z.shape[1])
     ridge = np.diag([1e-2] * (z.shape[1] - 1) + [1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (weight * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -124,8 +124,10 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column, sample: int = SA
     if not n1 or not n0:
         prior = 0.5 if not len(y) else float((n1 + 1) / (len(y) + 2))
         return QualityModel(good, bad, (0.0,) * 3, (1.0,) * 3, (0.0, 0.0, 0.0, float(np.log(prior / (1 - prior)))), prior)
-    mean, scale, w = calibrate(x, y)
-    return QualityModel(good, bad, *(tuple(map(float, v)) for v in (mean, scale, w)), float(n1 / len(y)))
+    # The sample holds as many of both values as it can; weights bring their true shares back.
+    share = share_of(labels, "quality", train)
+    mean, scale, w = calibrate(x, y, np.where(y == 1, share / n1, (1 - share) / n0) * len(y))
+    return QualityModel(good, bad, *(tuple(map(float, v)) for v in (mean, scale, w)), share)
 
 
 def score(documents: DataFrame, model: QualityModel, id_column: str = "doc_id") -> DataFrame:

@@ -2,7 +2,8 @@
 
 The lexicon of words and word beginnings is learned from labelled rows by a likelihood-ratio test, near
 copies counted once. Features: lexicon densities, second-person words near lexicon hits, capitals, punctuation and
-obfuscation rates. Trees and calibration are fitted on a bounded sample; whole texts are scored.
+obfuscation rates. Trees are grown on a bounded sample, and calibrated on margins that
+each half of it gets from trees of the other half; whole texts are scored.
 
 Defined results: null and empty texts have all features zero and are scored from them; repeated rows score alike;
 without usable labels of both values every text gets 0 (or 1, if toxic rows alone are labelled); extra columns are not read.
@@ -252,13 +253,14 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column, sample: int = SA
     x, y = np.array([r["f"] for r in got], float).reshape(-1, len(NAMES)), np.array([r["y"] for r in got], float)
     held = np.array([r["half"] for r in got]) == 1
     w = np.where(y == 1, 1.0, share[0] / share[1] * max(1.0, y.sum()) / max(1.0, (1 - y).sum()))
-    fit_on = ~held if len({*y[~held]}) == 2 and len({*y[held]}) == 2 else np.ones(len(y), bool)
-    base, trees = boost(x[fit_on], y[fit_on], w[fit_on])
-    step = fit_on if fit_on.all() else held
-    margin = np.full(len(x), base)
-    for t in trees:
-        margin += tree_value(t, x)
-    return ToxicityModel(lexicon, base, trees, *isotonic(margin[step], y[step], w[step]))
+    margin = np.zeros(len(x))
+    for fold in (held, ~held):  # each half is judged by trees grown on the other
+        base, trees = boost(x[~fold], y[~fold], w[~fold]) if (~fold).any() else (0.0, ())
+        margin[fold] = base
+        for t in trees:
+            margin[fold] += tree_value(t, x[fold])
+    base, trees = boost(x, y, w)
+    return ToxicityModel(lexicon, base, trees, *isotonic(margin, y, w))
 
 
 def score(documents: DataFrame, model: ToxicityModel, id_column: str = "doc_id") -> DataFrame:
