@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import chunks, components, cut, fresh, utf8
+from lattica.llm.words import mix, words
 
 BITS = 64
 SHINGLE = 3
@@ -33,6 +34,8 @@ HISTOGRAM_BITS = 16
 #: What a probe row costs, in candidates.
 PROBE_COST = 2.0
 _BLOCK = 1 << 18
+#: Highest threshold of one partition.
+TOP = 3
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -53,16 +56,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns ``id_column`` and ``keep`` with ``fp``, the fingerprint as a signed 64-bit number."""
+def fingerprints(documents: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE, keep: tuple[str, ...] = (), sketch: bool = False) -> DataFrame:
+    """The columns ``id_column`` and ``keep`` with ``fp``, the fingerprint as a signed 64-bit number, and on demand a sketch of five-word shingles."""
     columns = [id_column, *keep]
-    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns) + ", fp long"
+    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns) + ", fp long" + ", sketch binary" * sketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             off, raw = utf8(b.column("_text"))
             fp = np.array([fingerprint(raw[s:e].tobytes(), shingle) for s, e in zip(off[:-1], off[1:], strict=True)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(fp.view(np.int64))], [*columns, "fp"])
+            more = [pa.array(sketches(b.column("_text")), pa.binary())] if sketch else []
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(fp.view(np.int64)), *more], [*columns, "fp", *["sketch"] * sketch])
 
     return documents.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
 
@@ -186,10 +190,10 @@ def masks(width: int, most: int) -> list[np.ndarray]:
     return [np.array([sum(1 << b for b in c) for c in combinations(range(width), t)], np.uint64) for t in range(most + 1)]
 
 
-def plan_partitions(fps: DataFrame, distance: int = DISTANCE) -> tuple[list[list[int]], np.ndarray]:
+def plan_partitions(fps: DataFrame, distance: int = DISTANCE, parts: int | None = None) -> tuple[list[list[int]], np.ndarray]:
     """(groups of bits, S): S[i, t, v] estimates the fingerprints within t bits in partition i of histogram value v."""
     n, g = bit_counts(fps)
-    groups = group_bits(n, g, choose_parts(n, distance))
+    groups = group_bits(n, g, parts or choose_parts(n, distance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = np.zeros((len(groups), 1 << HISTOGRAM_BITS), np.int64)
@@ -203,54 +207,62 @@ def plan_partitions(fps: DataFrame, distance: int = DISTANCE) -> tuple[list[list
     rows = fps.select("fp").mapInArrow(run, "i int, x int, c long").groupBy("i", "x").agg(F.sum("c").alias("c")).toPandas()
     counts = np.zeros((len(groups), 1 << HISTOGRAM_BITS))
     counts[rows["i"].to_numpy(int), rows["x"].to_numpy(int)] = rows["c"].to_numpy(float)
-    top = distance - len(groups) + 1 + len(groups) - 1
+    top = min(distance, TOP)
     # Bits beyond the histogram's are taken as even: they thin the candidates out.
     s = np.stack([neighbour_counts(c, top) / 2.0 ** max(0, len(b) - HISTOGRAM_BITS) for c, b in zip(counts, groups, strict=True)])
     return groups, s.astype(np.float32)
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b), a < b: every pair of the distinct fingerprints ``fps.fp`` that differ in ``distance`` bits or fewer.
+def links(fps: DataFrame, distance: int = DISTANCE, radius: int = 0, parts: int | None = None) -> DataFrame:
+    """(a, b), a < b: the pairs of the distinct fingerprints ``fps.fp`` that differ in ``distance`` bits or fewer.
 
-    Index rows: one a partition for each fingerprint. Probe rows: the values within the fingerprint's own
-    threshold. Both are keyed by (partition, value), so the join is an ordinary equi-join whose
+    Index rows: for each partition the values within ``radius`` bits of the fingerprint's. Probe rows: the values within
+    its threshold less ``radius``. Both are keyed by (partition, value), so the join is an ordinary equi-join whose
     hot values adaptive execution splits, and the bit count is part of its condition.
+    If ``fps`` has a column ``root``, pairs of one root are known to be connected and are left out there as well.
     """
-    groups, s = plan_partitions(fps, distance)
+    groups, s = plan_partitions(fps, distance, parts)
     m = len(groups)
     total = distance - m + 1
     shared = fps.sparkSession.sparkContext.broadcast((groups, s))
     levels = s.shape[1] + 1
+    known = "root" in fps.columns
+    extra = ["root"] if known else []
 
     def rows(batches: Iterator[pa.RecordBatch], probe: bool) -> Iterator[pa.RecordBatch]:
         groups, s = shared.value
-        flips = [masks(len(b), levels - 2) if probe else None for b in groups]
-        names = ["part", "value", "fp"]
+        flips = [masks(len(b), max(radius, levels - 2 - radius)) for b in groups]
+        names = ["part", "value", "fp", *extra]
         for b in chunks(batches, 4096):
             fp = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+            root = [b.column(c).to_numpy(zero_copy_only=False) for c in extra]
             v = fp.view(np.uint64)
-            parts = [extract(v, g) for g in groups]
+            values = [extract(v, g) for g in groups]
+            reach = np.full((m, len(v)), radius)
             if probe:
                 cost = np.zeros((m, levels, len(v)))
-                for i, g in enumerate(groups):
-                    short = (parts[i] & np.uint64((1 << HISTOGRAM_BITS) - 1)).astype(np.int64)
-                    cost[i, 1:] = s[i][:, short] + PROBE_COST * np.cumsum([len(f) for f in flips[i]])[:, None]
+                for i in range(m):
+                    short = (values[i] & np.uint64((1 << HISTOGRAM_BITS) - 1)).astype(np.int64)
+                    made = [sum(len(f) for f in flips[i][: max(0, t - radius) + 1]) for t in range(levels - 1)]
+                    cost[i, 1:] = s[i][:, short] + PROBE_COST * np.array(made, float)[:, None]
                 chosen = allocate(cost, total)
+                reach = np.where(chosen < 0, -1, np.maximum(chosen - radius, 0))
             for i in range(m):
-                if not probe:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(parts[i].view(np.int64)), pa.array(fp)], names)
-                    continue
-                for t in range(levels - 1):
-                    take = chosen[i] >= t
+                for t, flip in enumerate(flips[i]):
+                    take = reach[i] >= t
                     if take.any():
-                        x = (parts[i][take][:, None] ^ flips[i][t][None, :]).ravel()
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(x.view(np.int64)), pa.array(np.repeat(fp[take], len(flips[i][t])))], names)
-
-    schema = "part int, value long, fp long"
-    index = fps.select("fp").mapInArrow(lambda it: rows(it, False), schema).alias("x")
-    probes = fps.select("fp").mapInArrow(lambda it: rows(it, True), schema).alias("q")
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("q.fp"))) <= distance
-    pairs = index.join(probes, (F.col("x.part") == F.col("q.part")) & (F.col("x.value") == F.col("q.value")) & (F.col("x.fp") < F.col("q.fp")) & near)
+                        x = (values[i][take][:, None] ^ flip[None, :]).ravel()
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(x.view(np.int64)), *(pa.array(np.repeat(c[take], len(flip))) for c in (fp, *root))], names)
+
+    schema = "part int, value long, fp long" + ", root long" * known
+    source = fps.select("fp", *extra)
+    index = source.mapInArrow(lambda it: rows(it, False), schema).alias("x")
+    probes = source.mapInArrow(lambda it: rows(it, True), schema).alias("q")
+    # Both of a pair probe, and each finds the other: the greater one's probe is enough.
+    near = (F.col("x.fp") < F.col("q.fp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("q.fp"))) <= distance)
+    if known:
+        near &= F.col("x.root") != F.col("q.root")
+    pairs = index.join(probes, (F.col("x.part") == F.col("q.part")) & (F.col("x.value") == F.col("q.value")) & near)
     return pairs.select(F.col("x.fp").alias("a"), F.col("q.fp").alias("b")).distinct()
 
 
@@ -271,17 +283,80 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", shingle: in
     return out.select(id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(documents: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+#: Of the five-word shingles a text keeps the SKETCH smallest hashes: all, where it has no more.
+SKETCH = 256
+NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_DISTANCE = 5, 0.8, 10
+#: What an estimate from full sketches may fall short: its standard error at 0.8 is 0.025.
+SLACK = 0.02
+
+
+def sketches(texts: pa.Array, shingle: int = NEAR_SHINGLE, size: int = SKETCH) -> list[bytes]:
+    """For each text the smallest distinct 32-bit hashes of its word shingles, in order."""
+    row, h = words(texts)
+    begin = np.searchsorted(row, np.arange(len(texts) + 1))
+    out = []
+    for s, e in zip(begin[:-1], begin[1:], strict=True):
+        n = max(1, e - s - shingle + 1) if e > s else 0
+        k = min(shingle, e - s)
+        x = np.zeros(n, np.uint64)
+        for j in range(k):
+            x = mix(x * np.uint64(3) + h[s + j : s + j + n])
+        x = np.unique((x >> np.uint64(32)).astype("<u4"))
+        out.append(x[:size].tobytes())
+    return out
+
+
+def resemblance(a: bytes, b: bytes, size: int = SKETCH) -> tuple[float, bool]:
+    """(Jaccard similarity, whether it is exact) from two sketches."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.union1d(x, y)
+    exact = len(x) < size and len(y) < size
+    both = both if exact else both[:size]
+    if not len(both):
+        return 1.0, True
+    return float(np.isin(both, x, assume_unique=True)[np.isin(both, y, assume_unique=True)].sum() / len(both)), exact
+
+
+def alike(pairs: DataFrame, sketched: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sketches in ``sketched`` (fp, sketch) resemble each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, 4096):
+            ok = []
+            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
+                r, exact = resemblance(x, y)
+                ok.append(r >= (similarity if exact else similarity - SLACK))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+
+    rich = pairs.join(sketched.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a").join(sketched.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b")
+    return rich.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def dedup(documents: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, similarity: float = NEAR_SIMILARITY, reach: int = NEAR_DISTANCE) -> DataFrame:
     """One row of each group, whole: that of the smallest id (nulls last), and of rows of one id the one of smallest text hash.
 
+    Groups are those of ``near_duplicates``, joined further where fingerprints within ``reach`` bits belong to texts
+    whose five-word shingles have a Jaccard similarity of ``similarity`` (estimated from 256 shingles of the longer texts). Pairs that the first
+    join has connected are not looked at again, so large groups of near copies do not grow into their pairs.
     The choice is made on ids and hashes; texts travel once, in the last join. Rows alike in id and text stay one.
     """
     row = fresh(documents.columns, "_row")
     numbered = documents.withColumn(row, F.xxhash64(id_column, "text"))
-    marked = cut(fingerprints(numbered, id_column, shingle, (row,)))
+    marked = cut(fingerprints(numbered, id_column, shingle, (row,), sketch=True))
     groups = group(marked, id_column, distance).select("fp", "root")
+    groups = cut(groups)
+    far = links(groups, reach, 1, 4)
+    wanted = cut(far)
+    needed = wanted.select(F.col("a").alias("fp")).union(wanted.select("b")).distinct()
+    sketched = cut(marked.select("fp", "sketch").join(needed, "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch")))
+    near = alike(wanted, sketched, similarity)
+    # Links between texts are links between their groups.
+    by = lambda c: groups.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}"))
+    edges = near.join(by("a"), "a").join(by("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    merged = components(edges).toDF("root", "final")
     # Rows are first reduced by fingerprint, with map-side combining, then by group.
     order = F.struct(F.col(id_column).isNull().alias("n"), F.col(id_column).alias("id"), F.col(row).alias("key"))
-    best = marked.groupBy("fp").agg(F.min(order).alias("o")).join(groups, "fp")
-    kept = best.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.key").alias(row))
-    return numbered.join(kept, row, "left_semi").dropDuplicates([row]).select(*documents.columns)
+    best = marked.groupBy("fp").agg(F.min(order).alias("o")).join(groups, "fp").groupBy("root").agg(F.min("o").alias("o"))
+    best = best.join(merged, "root", "left").groupBy(F.coalesce("final", "root").alias("final")).agg(F.min("o").alias("o"))
+    return numbered.join(best.select(F.col("o.key").alias(row)), row, "left_semi").dropDuplicates([row]).select(*documents.columns)
