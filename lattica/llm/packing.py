@@ -143,7 +143,7 @@ def configuration_lp(counts: dict[int, int], capacity: int = CAPACITY, rounds: i
     log_w = TILT * np.log(lengths / capacity)
     for _ in range(rounds):
         left = np.maximum(demand - met, 0)
-        if left.sum() * 1e3 < demand.sum():
+        if left.sum() * 1e3 <= demand.sum():
             break
         values = np.where(left > 0, np.exp(log_w - log_w.max()), 0)
         config, _ = best_configuration(values, lengths, demand, capacity)
