@@ -199,7 +199,8 @@ def _blocks(spark: SparkSession, d: str) -> Matrix:
 
 
 matrix("gemm_block", _blocks, S.mm(E.T.sql, E.sql))
-matrix("gram_emb", lambda s, d: gemm.gemm("T", "N", 1, E(s, d), E(s, d)), S.mm(E.T.sql, E.sql))
+matrix("gram_emb", lambda s, d: gemm.tall_gram(read(s, d, "embeddings"), "embedding", 64), S.mm(E.T.sql, E.sql))
+matrix("gram_emb_join", lambda s, d: gemm.gemm("T", "N", 1, E(s, d), E(s, d)), S.mm(E.T.sql, E.sql))
 for u in "UL":
     cond = "j >= i" if u == "U" else "j <= i"
     matrix(f"syrk_{u.lower()}", lambda s, d, u=u: gemm.syrk(u, "T", 1.5, E(s, d), 0.5, S64(s, d)), S.where(S.add((2.0, S.mm(E.T.sql, E.sql)), (0.5, S.eye(64))), cond))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.number import Num
 from lattica.matrix import Matrix
-from lattica.plans.physical import Strategy, choose_product
+from lattica.plans.physical import BROADCAST_ORDER, Strategy, choose_product
 from lattica.types import Trans, Uplo, require
 
 
@@ -87,3 +92,25 @@ def syr2k(uplo, trans, alpha: complex, a: Matrix, b: Matrix, beta: complex = 0,
 def her2k(uplo, trans, alpha: complex, a: Matrix, b: Matrix, beta: float = 0, c: Matrix | None = None) -> Matrix:
     """One triangle of alpha A Bᴴ + conj(alpha) B Aᴴ + beta C."""
     return _rank_2k(uplo, trans, alpha, a, b, beta, c, True)
+
+
+def tall_gram(rows: DataFrame, array: str, n: int) -> Matrix:
+    """XᵀX of the matrix whose rows are the cells of ``array``, without row keys.
+
+    Each task adds up its Arrow batches' Gram matrices and gives one; the shuffle moves n (n + 1) / 2 sums a task whatever the number
+    of rows, where a join on the row index would first make n times as many rows as there are elements.
+    """
+    require(n <= BROADCAST_ORDER, f"{n} columns are too many for one task's Gram matrix; the limit is {BROADCAST_ORDER}")
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros((n, n))
+        for b in batches:
+            x = b.column("_a").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            g += x.T @ x
+        i, j = np.nonzero(np.triu(g))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(g[i, j])], ["i", "j", "v"])
+
+    cells = rows.where(F.col(array).isNotNull()).select(F.col(array).cast("array<double>").alias("_a"))
+    half = cells.mapInArrow(partial, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    mirrored = half.unionByName(half.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    return Matrix(mirrored, n, n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -126,3 +127,15 @@ def lauum(uplo, a: Matrix) -> Matrix:
 def trapezoid(uplo, a: Matrix, diag=Diag.NONUNIT) -> Matrix:
     """The lower or upper trapezoid of any matrix, with its diagonal as it is or of ones."""
     return a.tri(uplo, diag=diag)
+
+
+# -- the eight direct forms, by side and triangle, without a transpose or a unit diagonal -------------------------
+
+left_lower_trmm = partial(trmm, "L", "L", "N", "N")
+left_upper_trmm = partial(trmm, "L", "U", "N", "N")
+right_lower_trmm = partial(trmm, "R", "L", "N", "N")
+right_upper_trmm = partial(trmm, "R", "U", "N", "N")
+left_lower_trsm = partial(trsm, "L", "L", "N", "N")
+left_upper_trsm = partial(trsm, "L", "U", "N", "N")
+right_lower_trsm = partial(trsm, "R", "L", "N", "N")
+right_upper_trsm = partial(trsm, "R", "U", "N", "N")
