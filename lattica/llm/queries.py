@@ -70,7 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding": EMBEDDING_SQL}
+    return {"op4_embedding": EMBEDDING_SQL, "op6_decontaminate": DECONTAMINATE_SQL, "op7_lines": LINES_SQL}
 
 
 #: Pairs by brute force; components by walking the links.
@@ -95,3 +95,48 @@ cnt AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
 SELECT v.vec_id, coalesce(cnt.n, 0)::BIGINT AS n_links, comp.c AS component_id, v.vec_id = comp.c AS kept
 FROM v JOIN comp ON comp.a = v.vec_id LEFT JOIN cnt ON cnt.a = v.vec_id
 """
+
+#: All diagonals on which a document and an item have enough equal tokens, and all windows on them.
+DECONTAMINATE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) - 1 AS p, len(w) AS n
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS w FROM documents)
+), b AS (
+  SELECT item_id, unnest(w) AS tok, generate_subscripts(w, 1) - 1 AS p, len(w) AS n
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS w FROM benchmark) WHERE len(w) >= 5
+), eq AS (
+  SELECT d.doc_id, b.item_id, d.p - b.p AS diag, b.p AS p, d.n AS dn, b.n AS bn FROM d JOIN b ON d.tok = b.tok
+), diags AS (
+  SELECT doc_id, item_id, diag, list(p) AS ps, least(13, bn) AS size, greatest(0, -diag) AS lo, least(bn, dn - diag) - least(13, bn) AS hi
+  FROM eq GROUP BY doc_id, item_id, diag, bn, dn HAVING count(*) >= 0.8 * least(13, bn)
+), win AS (
+  SELECT doc_id, item_id, size, s + diag AS start, len(list_filter(ps, lambda x: x >= s AND x < s + size)) AS agreeing
+  FROM (SELECT *, unnest(range(lo, hi + 1)) AS s FROM diags)
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreeing DESC, start) AS r FROM win WHERE agreeing >= 0.8 * size
+)
+SELECT doc_id, item_id, start::INT AS start, size::INT AS length, agreeing::INT AS agreeing FROM best WHERE r = 1
+"""
+
+#: Every window of lines with 50 words, by its whole content.
+LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, k, line, list_filter(regexp_split_to_array(line, '[\t\x0b\f\r ]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)
+), f AS (
+  SELECT doc_id, k, array_to_string(w, ' ') AS c, len(w) AS n, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k) AS t FROM l WHERE len(w) > 0
+), win AS (
+  SELECT a.doc_id, a.k AS s, min(b.k) AS e FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.t - a.t + a.n >= 50 GROUP BY a.doc_id, a.k
+), content AS (
+  SELECT w.doc_id, w.s, w.e, string_agg(f.c, chr(10) ORDER BY f.k) AS c FROM win w JOIN f ON f.doc_id = w.doc_id AND f.k BETWEEN w.s AND w.e GROUP BY ALL
+), later AS (
+  SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id, s) AS r FROM content) WHERE r > 1
+), gone AS (
+  SELECT DISTINCT l.doc_id, l.k FROM l JOIN later x ON l.doc_id = x.doc_id AND l.k BETWEEN x.s AND x.e
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.k) FILTER (gone.k IS NULL) AS text, count(gone.k) AS n
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.k = l.k GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(kept.n, 0)::INT AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
