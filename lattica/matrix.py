@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from lattica.functions.number import Num, modulus, rounded
 from lattica.types import ArgumentError, Diag, Trans, Uplo, require
 
-#: Largest number of elements of a matrix that may be gathered in one task or on the driver (128 MB as doubles).
-LOCAL_ELEMENTS = 1 << 24
+#: Largest number of elements, of all matrices in and out, that may be gathered in one task or on the driver (64 MB dense, four times that as entries).
+LOCAL_ELEMENTS = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -252,22 +252,23 @@ def in_one_task(inputs: dict[str, Matrix], outputs: dict[str, tuple[int, int]],
         raise ArgumentError(f"{total} elements are too many for one task; the limit is {LOCAL_ELEMENTS}")
     spark = first.df.sparkSession
     columns = ["re", "im"] if is_complex else ["v"]
+    tags, results = {k: t for t, k in enumerate(inputs)}, {k: t for t, k in enumerate(outputs)}
     whole = None
     for k, x in inputs.items():
-        part = (x.to_complex() if is_complex else x).df.select(F.lit(k).alias("name"), "i", "j", *columns)
+        part = (x.to_complex() if is_complex else x).df.select(F.lit(tags[k]).alias("tag"), "i", "j", *columns)
         whole = part if whole is None else whole.unionByName(part)
     # A row of its own, so that the kernel runs on matrices without entries too.
-    whole = whole.unionByName(spark.createDataFrame([("", 0, 0, *(0.0,) * len(columns))], whole.schema))
+    whole = whole.unionByName(spark.createDataFrame([(-1, 0, 0, *(0.0,) * len(columns))], whole.schema))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        arrays = {k: dense(pdf[pdf["name"] == k], *shape, is_complex) for k, shape in shapes.items()}
+        arrays = {k: dense(pdf[pdf["tag"] == tags[k]], *shape, is_complex) for k, shape in shapes.items()}
         parts = []
         for k, a in f(**arrays).items():
             e = entries(np.atleast_2d(np.asarray(a, complex if is_complex else float)))
-            e.insert(0, "name", k)
+            e.insert(0, "tag", results[k])
             parts.append(e)
-        return pd.concat(parts)[["name", "i", "j", *columns]]
+        return pd.concat(parts)[["tag", "i", "j", *columns]]
 
-    schema = "name string, i long, j long, " + ", ".join(f"{c} double" for c in columns)
+    schema = "tag int, i long, j long, " + ", ".join(f"{c} double" for c in columns)
     out = whole.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, schema)
-    return {k: Matrix(out.where(F.col("name") == k).select("i", "j", *columns), *shape, is_complex) for k, shape in outputs.items()}
+    return {k: Matrix(out.where(F.col("tag") == results[k]).select("i", "j", *columns), *shape, is_complex) for k, shape in outputs.items()}
