@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,6 @@ NEAR = 5
 NAMES = ("density", "hits", "distinct", "weight", "second_person", "near", "capitals", "shouted", "punctuation", "exclaimed", "obfuscated", "size")
 
 _WORD = re.compile(r"\w+")
-_ODD = re.compile(r"[^\W\d_]+[\d@$*#]+[^\W\d_]+")
 
 
 @dataclass(frozen=True)
@@ -85,38 +85,49 @@ def choose_lexicon(counts: list[tuple[str, int, int]], n1: int, n0: int) -> dict
 
 def features(text: str | None, lexicon: dict[str, float]) -> tuple[float, ...]:
     text = text or ""
-    raw = _WORD.findall(text)
-    if not raw:
+    words = _WORD.findall(text.lower())
+    if not words:
         return (0.0,) * len(NAMES)
-    get = lexicon.get
-    at, weight, seen = [], 0.0, set()
-    you = []
+    get, distinct = lexicon.get, set(words)
     stem1, stem2 = STEMS
-    for k, w in enumerate(_WORD.findall(text.lower())):
-        v = get(w) or get(w[:stem2] + "-") or get(w[:stem1] + "-")
-        if v:
-            at.append(k)
-            weight += v
-            seen.add(w)
-        if w in SECOND_PERSON:
-            you.append(k)
-    n, size = len(raw), len(text)
+    # Each distinct word is looked up once; places are gone through only where some word counts.
+    found = {w: v for w in distinct if (v := get(w) or get(w[:stem2] + "-") or get(w[:stem1] + "-"))}
+    person = distinct & SECOND_PERSON
+    at = [k for k, w in enumerate(words) if w in found] if found else []
+    you = [k for k, w in enumerate(words) if w in person] if person else []
+    weight = sum(found[words[k]] for k in at)
+    n, size = len(words), len(text)
     near = 0
     if at and you:
         y = np.array(you)
         i = np.searchsorted(y, at)
         left = np.abs(y[np.maximum(i - 1, 0)] - at)
         near = int((np.minimum(left, np.abs(y[np.minimum(i, len(y) - 1)] - at)) <= NEAR).sum())
-    letters = sum(map(len, raw))
-    capitals = sum(map(str.isupper, text)) if size < 200 else size - len(text.translate(_UPPER))
-    shouted = sum(1 for w in raw if len(w) > 2 and w.isupper())
-    blank = len(text.split())
-    punctuation = max(0, size - letters - blank)
-    return (len(at) / n, float(np.log1p(len(at))), float(np.log1p(len(seen))), weight / n, len(you) / n, near / n, capitals / size, shouted / n, punctuation / size, text.count("!") / size, len(_ODD.findall(text)) / n, float(np.log1p(n)))
+    kinds = character_kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    count = np.bincount(kinds, minlength=6)
+    shouted = int((np.diff(_runs(kinds == UPPER), axis=0) >= 3).sum()) if count[UPPER] >= 3 else 0
+    obfuscated = 0
+    if count[DIGIT] or count[SYMBOL]:  # runs of digits and look-alike symbols with letters on both sides
+        letter = np.concatenate([[False], (kinds == LOWER) | (kinds == UPPER), [False]])
+        start, end = _runs((kinds == DIGIT) | (kinds == SYMBOL))
+        obfuscated = int((letter[start] & letter[end + 1]).sum())
+    return (len(at) / n, float(np.log1p(len(at))), float(np.log1p(len(found))), weight / n, len(you) / n, near / n, float(count[UPPER] / size), shouted / n, float((count[OTHER] + count[SYMBOL]) / size), text.count("!") / size, obfuscated / n, float(np.log1p(n)))
 
 
-#: Deletes capitals, so that they are counted at C speed.
-_UPPER = {i: None for i in range(0x250) if chr(i).isupper()}
+def _runs(mask: np.ndarray) -> np.ndarray:
+    """(starts, ends) of the runs in which ``mask`` holds."""
+    edge = np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))
+    return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)])
+
+
+OTHER, LOWER, UPPER, DIGIT, BLANK, SYMBOL = range(6)
+
+
+@cache
+def character_kinds() -> np.ndarray:
+    """The kind of each code point: letters without case count as lower ones."""
+    kind = lambda c: UPPER if c.isupper() else LOWER if c.isalpha() else DIGIT if c.isdigit() else BLANK if c.isspace() else SYMBOL if c in "@$*#" else OTHER
+    return np.fromiter((kind(chr(i)) for i in range(0x110000)), np.int8, 0x110000)
 
 
 def quantile_bins(x: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
