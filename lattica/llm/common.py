@@ -33,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that is not needed any more, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, with underscores in front until no column has it (Spark ignores case)."""
     taken = {c.lower() for c in columns}

@@ -31,8 +31,8 @@ DISTANCE = 3
 SEED = 42
 #: Bits of a partition that its histogram distinguishes: the tables on the driver are bounded by 2**16 counts a partition.
 HISTOGRAM_BITS = 16
-#: What a probe row costs, in candidates.
-PROBE_COST = 2.0
+#: What an index or probe row costs, in candidates that a join compares.
+PROBE_COST = 20.0
 _BLOCK = 1 << 18
 #: Highest threshold of one partition.
 TOP = 3
@@ -123,17 +123,26 @@ def extract(v: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def choose_parts(n: int, distance: int = DISTANCE) -> int:
-    """The number of partitions with the least index, probe and expected candidate rows for n uniform fingerprints."""
+def choose_parts(n: int, distance: int = DISTANCE, radius: int = 0) -> int:
+    """The number of partitions with the least rows and expected candidates for n even fingerprints.
+
+    Few wide partitions make more rows and fewer candidates; as n grows, they win.
+    """
 
     def cost(m: int) -> float:
-        width, spare = BITS / m, distance - m + 1
-        probes = m if spare <= 0 else m - 1 + sum(_choose(width, t) for t in range(spare + 1))
-        if m == 2:
-            probes = 2 * (1 + width) if distance == 3 else probes
-        return PROBE_COST * (m + probes) + n * probes / 2**width
+        total, width = distance - m + 1, BITS / m
+        spread = [total // m + (k < total % m) for k in range(m)] if total >= 0 else [0] * (total + m) + [-1] * -total
+        if max(spread) > TOP:
+            return float("inf")
+        made = sum(_within(width, radius) + _within(width, max(0, t - radius)) for t in spread if t >= 0)
+        return PROBE_COST * made + n * sum(_within(width, t) for t in spread) / 2**width
+
+    return min(range(1, distance + 2), key=cost)
+
 
-    return min(range(2, distance + 2), key=cost) if distance else 1
+def _within(width: float, t: int) -> float:
+    """Values within t bits of one."""
+    return sum(_choose(width, k) for k in range(t + 1))
 
 
 def _choose(n: float, k: int) -> float:
@@ -190,10 +199,10 @@ def masks(width: int, most: int) -> list[np.ndarray]:
     return [np.array([sum(1 << b for b in c) for c in combinations(range(width), t)], np.uint64) for t in range(most + 1)]
 
 
-def plan_partitions(fps: DataFrame, distance: int = DISTANCE, parts: int | None = None) -> tuple[list[list[int]], np.ndarray]:
+def plan_partitions(fps: DataFrame, distance: int = DISTANCE, parts: int | None = None, radius: int = 0) -> tuple[list[list[int]], np.ndarray]:
     """(groups of bits, S): S[i, t, v] estimates the fingerprints within t bits in partition i of histogram value v."""
     n, g = bit_counts(fps)
-    groups = group_bits(n, g, parts or choose_parts(n, distance))
+    groups = group_bits(n, g, parts or choose_parts(n, distance, radius))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = np.zeros((len(groups), 1 << HISTOGRAM_BITS), np.int64)
@@ -221,7 +230,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, radius: int = 0, parts: int
     hot values adaptive execution splits, and the bit count is part of its condition.
     If ``fps`` has a column ``root``, pairs of one root are known to be connected and are left out there as well.
     """
-    groups, s = plan_partitions(fps, distance, parts)
+    groups, s = plan_partitions(fps, distance, parts, radius)
     m = len(groups)
     total = distance - m + 1
     shared = fps.sparkSession.sparkContext.broadcast((groups, s))
@@ -346,7 +355,7 @@ def dedup(documents: DataFrame, id_column: str = "doc_id", shingle: int = SHINGL
     marked = cut(fingerprints(numbered, id_column, shingle, (row,), sketch=True))
     groups = group(marked, id_column, distance).select("fp", "root")
     groups = cut(groups)
-    far = links(groups, reach, 1, 4)
+    far = links(groups, reach, 1)
     wanted = cut(far)
     needed = wanted.select(F.col("a").alias("fp")).union(wanted.select("b")).distinct()
     sketched = cut(marked.select("fp", "sketch").join(needed, "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch")))
