@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.number import Num, modulus, rounded
+from lattica.plans.lineage import cut_frame
 from lattica.types import ArgumentError, Diag, Trans, Uplo, require
 
 #: Largest number of elements, of all matrices in and out, that may be gathered in one task or on the driver (64 MB dense, four times that as entries).
@@ -239,10 +240,11 @@ def entries(a: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"i": i, "j": j} | ({"re": v.real, "im": v.imag} if np.iscomplexobj(a) else {"v": v}))
 
 
-def in_one_task(inputs: dict[str, Matrix], outputs: dict[str, tuple[int, int]], f: Callable[..., dict[str, np.ndarray]]) -> dict[str, Matrix]:
-    """Run a dense kernel on whole matrices in one worker task, lazily; all are of LOCAL_ELEMENTS elements together at most.
+def in_one_task(inputs: dict[str, Matrix], outputs: dict[str, tuple[int, int]], f: Callable[..., dict[str, np.ndarray]], keep: bool = False) -> dict[str, Matrix]:
+    """Run a dense kernel on whole matrices in one worker task; all are of LOCAL_ELEMENTS elements together at most.
 
-    ``f`` takes arrays by name and returns arrays by the names and of the shapes of ``outputs``.
+    ``f`` takes arrays by name and returns arrays by the names and of the shapes of ``outputs``. The kernel runs lazily, once for each output that
+    is used; with ``keep`` it runs now, and its outputs are kept in the checkpoint folder.
     """
     first = next(iter(inputs.values()))
     is_complex = any(x.complex for x in inputs.values())
@@ -271,4 +273,5 @@ def in_one_task(inputs: dict[str, Matrix], outputs: dict[str, tuple[int, int]],
 
     schema = "tag int, i long, j long, " + ", ".join(f"{c} double" for c in columns)
     out = whole.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, schema)
+    out = cut_frame(out) if keep else out
     return {k: Matrix(out.where(F.col("tag") == results[k]).select("i", "j", *columns), *shape, is_complex) for k, shape in outputs.items()}

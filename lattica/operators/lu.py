@@ -16,7 +16,7 @@ from lattica.matrix import LOCAL_ELEMENTS, Matrix, in_one_task
 from lattica.operators import kernels
 from lattica.operators.triangular import trsm
 from lattica.plans.lineage import cut
-from lattica.types import Pivot, SingularError, require
+from lattica.types import Pivot, SingularError, ZeroPivotError, require
 
 PANEL = 128
 
@@ -42,12 +42,15 @@ class LUResult:
 
     @property
     def info(self) -> int:
-        """0, or the 1-based step of the first pivot that was zero (or raised, by getc2); runs the job."""
-        return int(self.info_[0, 0])
+        """0, or the 1-based step of the first pivot that was zero (or raised, by getc2); negative for elimination that had to stop there."""
+        return int(np.real(self.info_[0, 0]))
 
     def check(self) -> "LUResult":
-        if self.info:
-            raise SingularError(self.info)
+        info = self.info
+        if info < 0:
+            raise ZeroPivotError(-info)
+        if info:
+            raise SingularError(info)
         return self
 
     def solve(self, b: Matrix) -> Matrix:
@@ -83,21 +86,24 @@ def _results(a: Matrix, f) -> LUResult:
     k = min(a.m, a.n)
 
     def run(a):
-        packed, rows, columns, info = f(a)
+        try:
+            packed, rows, columns, info = f(a)
+        except ZeroPivotError as e:  # told to the driver as a negative step
+            packed, rows, columns, info = a, np.arange(a.shape[0]), np.arange(a.shape[1]), -e.step
         return {"l": np.tril(packed[:, :k], -1) + np.eye(a.shape[0], k), "u": np.triu(packed[:k]), "p": rows[:, None] + 1, "q": columns[:, None] + 1, "info": np.array([[info]])}
 
-    out = in_one_task({"a": a}, {"l": (a.m, k), "u": (k, a.n), "p": (a.m, 1), "q": (a.n, 1), "info": (1, 1)}, run)
+    out = in_one_task({"a": a}, {"l": (a.m, k), "u": (k, a.n), "p": (a.m, 1), "q": (a.n, 1), "info": (1, 1)}, run, keep=True)
     return LUResult(out["l"], out["u"], out["p"], out["q"], out["info"])
 
 
 def lu(a: Matrix, pivot=Pivot.ROW_MAX, check: bool = False) -> LUResult:
-    """P A Q = L U. ``check`` runs the job and raises for a singular matrix; a zero pivot without search always raises there."""
+    """P A Q = L U. ``check`` raises for a singular matrix; a zero pivot without any search raises always, as there are no factors."""
     pivot = Pivot(pivot)
     if 4 * a.m * a.n <= LOCAL_ELEMENTS or pivot in (Pivot.COMPLETE, Pivot.ROW_NONZERO):
         out = _results(a, lambda x: kernels.lu(x, pivot))
     else:
         out = lu_by_panels(a, pivot)
-    return out.check() if check else out
+    return out.check() if check or pivot is Pivot.NONE else out
 
 
 def getc2(a: Matrix) -> LUResult:
@@ -109,13 +115,14 @@ def getc2(a: Matrix) -> LUResult:
 def lu_by_panels(a: Matrix, pivot=Pivot.ROW_MAX, panel: int = PANEL) -> LUResult:
     """Right-looking LU of matrices too large for one task; a panel of m x ``panel`` elements must fit one."""
     pivot, k, spark = Pivot(pivot), min(a.m, a.n), a.df.sparkSession
+    if not k:
+        return _results(a, lambda x: kernels.lu(x, pivot))
     order = np.arange(a.m)
-    left, upper, rest, info = [], [], cut(a), 0
+    left, upper, placed, rest, info = [], [], [], cut(a), 0
     for s in range(0, k, panel):
         e = min(s + panel, k)
         m, n = a.m - s, a.n - s
         head = _results(rest.slice((0, m), (0, e - s)), lambda x: kernels.lu(x, pivot))
-        head = LUResult(cut(head.l), cut(head.u), cut(head.rows), head.columns, head.info_)
         info = info or (head.info and s + head.info)
         turn = head.rows.to_numpy().real.ravel().astype(int) - 1
         order[s:] = order[s:][turn]
@@ -134,8 +141,7 @@ def lu_by_panels(a: Matrix, pivot=Pivot.ROW_MAX, panel: int = PANEL) -> LUResult
         # What of L lies in finished rows is placed; the rest goes on to be permuted.
         done = [x.slice((0, e - s), (0, x.n)) for x in left]
         yet = [x.slice((e - s, x.m), (0, x.n)) for x in left]
-        upper_rows = [(s, c * panel, x) for c, x in enumerate(done)]
-        placed = upper_rows if s == 0 else placed + upper_rows
+        placed += [(s, c * panel, x) for c, x in enumerate(done)]
         left = [cut(x) for x in yet] if e < k else yet
     final = placed + [(k, c * panel, x) for c, x in enumerate(left) if x.m]
     l = _union([x.shift(r, c, a.m, k) for r, c, x in final])

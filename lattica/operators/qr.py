@@ -52,7 +52,7 @@ def geqrt(a: Matrix, ib: int = 32) -> QRResult:
         packed, t = kernels.geqrt(a, ib)
         return {"a": packed, "t": t}
 
-    out = in_one_task({"a": a}, {"a": (a.m, a.n), "t": (ib, k)}, run)
+    out = in_one_task({"a": a}, {"a": (a.m, a.n), "t": (ib, k)}, run, keep=True)
     return QRResult(out["a"], out["t"])
 
 
@@ -86,7 +86,7 @@ def _tiles(kernel, a1: Matrix, a2: Matrix, ib: int) -> tuple[Matrix, Matrix, Mat
         r, v, t = kernel(a1, a2, ib)
         return {"r": r, "v": v, "t": t}
 
-    out = in_one_task({"a1": a1, "a2": a2}, {"r": (a1.m, a1.n), "v": (a2.m, a2.n), "t": (ib, k)}, run)
+    out = in_one_task({"a1": a1, "a2": a2}, {"r": (a1.m, a1.n), "v": (a2.m, a2.n), "t": (ib, k)}, run, keep=True)
     return out["r"], out["v"], out["t"]
 
 
@@ -105,7 +105,7 @@ def _apply(kernel, side, trans, a1: Matrix, a2: Matrix, v: Matrix, t: Matrix) ->
         x, y = kernel(side, trans, a1, a2, v, t)
         return {"a1": x, "a2": y}
 
-    out = in_one_task({"a1": a1, "a2": a2, "v": v, "t": t}, {"a1": (a1.m, a1.n), "a2": (a2.m, a2.n)}, run)
+    out = in_one_task({"a1": a1, "a2": a2, "v": v, "t": t}, {"a1": (a1.m, a1.n), "a2": (a2.m, a2.n)}, run, keep=True)
     return out["a1"], out["a2"]
 
 

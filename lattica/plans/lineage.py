@@ -1,16 +1,24 @@
-"""Cutting the lineage of iterative operators, in the reliable checkpoint folder."""
+"""Cutting the lineage of iterative operators and of factors that are used several times, in the reliable checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
 from dataclasses import replace
+from typing import TYPE_CHECKING
 
-from lattica.matrix import Matrix
+from pyspark.sql import DataFrame
 
+if TYPE_CHECKING:
+    from lattica.matrix import Matrix
 
-def cut(a: Matrix) -> Matrix:
+
+def cut_frame(df: DataFrame) -> DataFrame:
     """Compute once and forget how; the folder is ``spark.checkpoint.dir``, or one of our own where that is unset, as in tests."""
-    sc = a.df.sparkSession.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return replace(a, df=a.df.checkpoint(eager=True))
+    return df.checkpoint(eager=True)
+
+
+def cut(a: Matrix) -> Matrix:
+    return replace(a, df=cut_frame(a.df))

@@ -9,7 +9,7 @@ from lattica.operators.block import BlockMatrix
 from lattica.plans.physical import Strategy, choose_product
 from lattica.sources import parquet
 from lattica.streaming.gram import streaming_gram
-from lattica.types import ArgumentError, SingularError
+from lattica.types import ArgumentError, SingularError, ZeroPivotError
 
 rng = np.random.default_rng(11)
 
@@ -155,6 +155,10 @@ def test_singular_lu(of):
     with pytest.raises(SingularError):
         lu.lu(of(np.array([[1.0, 2], [2, 4]])), check=True)
     assert lu.lu(of(np.array([[1.0, 2], [2, 4]]))).info == 2
+    with pytest.raises(ZeroPivotError) as e:
+        lu.lu(of(np.array([[0.0, 1], [1, 0]])), "none")
+    assert e.value.step == 1
+    assert lu.lu_by_panels(of(np.array([[1.0, 2, 0], [2, 4, 0], [1, 1, 1]])), "row_max", 1).info == 3
 
 
 @pytest.mark.parametrize("cx", [False, True])
