@@ -14,9 +14,9 @@ Defined results: null and empty texts count 0; repeated rows count alike; extra
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import inf
 
 import ahocorasick
 import numpy as np
@@ -27,8 +27,8 @@ from lattica.llm.common import chunks
 
 BLANK = "▁"
 PENALTY = 10.0
-#: Words of which a worker remembers the count.
-REMEMBERED = 400_000
+#: Words of a generation of which a worker remembers the count.
+REMEMBERED = 300_000
 #: Longer words are split in the table's keys no more than others, but are not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -43,50 +43,63 @@ def load_vocabulary(path: str) -> tuple[dict[str, float], bool]:
     return pieces, sum(sp.is_byte(i) for i in ids) == 256
 
 
-class Counter:
-    """Counts pieces of words."""
+class Counter(dict):
+    """Word (without its blank) to its number of pieces; what is missing is counted and remembered.
 
-    def __init__(self, vocabulary: dict[str, float], bytes_known: bool):
-        self.bytes_known = bytes_known
+    Two generations of ``remembered`` words at most: a full one becomes the older, from which words come back when they are met.
+    """
+
+    def __init__(self, vocabulary: dict[str, float], bytes_known: bool, remembered: int = REMEMBERED):
+        super().__init__()
+        self.older: dict[str, int] = {}
+        self.remembered, self.bytes_known = remembered, bytes_known
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary.items():
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.single = frozenset(p for p in vocabulary if len(p) == 1)
         self.unknown = min(vocabulary.values(), default=0.0) - PENALTY
-        self.known: dict[str, int] = {}
 
-    def word(self, w: str) -> int:
-        """Pieces of one word, that starts with its blank."""
-        got = self.known.get(w)
+    def __missing__(self, word: str) -> int:
+        got = self.older.get(word)
         if got is None:
-            got = self.viterbi(w)
-            if len(w) <= LONGEST_REMEMBERED:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[w] = got
+            w = BLANK + word
+            got = self.viterbi(w) if self.single.issuperset(w) else self.viterbi_with_unknowns(w)
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self) >= self.remembered:
+                self.older = dict(self)
+                self.clear()
+            self[word] = got
         return got
 
     def viterbi(self, w: str) -> int:
+        """For a word all of whose characters are pieces. Matches come by their end, the longest of an end first."""
+        best, count = [0.0] + [-inf] * len(w), [0] * (len(w) + 1)
+        for last, (size, score) in self.automaton.iter(w):
+            start = last + 1 - size
+            v = best[start] + score
+            if v > best[last + 1]:
+                best[last + 1], count[last + 1] = v, count[start] + 1
+        return count[-1]
+
+    def viterbi_with_unknowns(self, w: str) -> int:
         n = len(w)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        single = [False] * n
-        for last, (size, score) in self.automaton.iter(w):
-            ends[last + 1].append((size, score))
-            if size == 1:
-                single[last] = True
+        for last, match in self.automaton.iter(w):
+            ends[last + 1].append(match)
         best, count = [0.0] * (n + 1), [0] * (n + 1)
         # Whether the best way to a place ends in an unknown: neighbours fuse if there are no byte pieces.
         open_unknown = [False] * (n + 1)
         for e in range(1, n + 1):
-            top = None
-            for size, score in sorted(ends[e], reverse=True):
+            top, c, u = -inf, 0, False
+            for size, score in ends[e]:
                 v = best[e - size] + score
-                if top is None or v > top:
+                if v > top:
                     top, c, u = v, count[e - size] + 1, False
-            if not single[e - 1]:
+            if w[e - 1] not in self.single:
                 v = best[e - 1] + self.unknown
-                if top is None or v > top:
+                if v > top:
                     top, u = v, True
                     if self.bytes_known:
                         c = count[e - 1] + len(w[e - 1].encode("utf-8", "surrogatepass"))
@@ -96,13 +109,7 @@ class Counter:
         return count[n]
 
     def text(self, text: str | None) -> int:
-        if not text:
-            return 0
-        return sum(map(self.word, _WORD.findall(BLANK + text.replace(" ", BLANK))))
-
-
-#: A word: one blank and what follows up to the next.
-_WORD = re.compile(f"{BLANK}[^{BLANK}]*")
+        return sum(map(self.__getitem__, text.replace(BLANK, " ").split(" "))) if text else 0
 
 
 @lru_cache(maxsize=2)

@@ -93,10 +93,10 @@ def test_ties_and_unknowns_match_the_library(bytes_known):
             assert c.text(text) == t(text), (pieces, text)
 
 
-def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokencount, "REMEMBERED", 5)
-    c = tokencount.Counter({"a": -1.0, "▁": -1.0}, False)
-    assert [c.text("a" * k) for k in range(1, 20)] == [k + 1 for k in range(1, 20)] and len(c.known) <= 5
+def test_memory_is_bounded():
+    c = tokencount.Counter({"a": -1.0, "▁": -1.0}, False, remembered=5)
+    assert [c.text("a" * k) for k in range(1, 20)] == [k + 1 for k in range(1, 20)] and len(c) <= 5 and len(c.older) <= 5
+    assert c.text("a " * 9) == 19
 
 
 def test_edges(edge, empty):
