@@ -294,7 +294,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", shingle: in
 
 #: Of the five-word shingles a text keeps the SKETCH smallest hashes: all, where it has no more.
 SKETCH = 256
-NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_DISTANCE = 5, 0.8, 10
+NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_DISTANCE = 5, 0.8, 7
 #: What an estimate from full sketches may fall short: its standard error at 0.8 is 0.025.
 SLACK = 0.02
 
@@ -355,7 +355,7 @@ def dedup(documents: DataFrame, id_column: str = "doc_id", shingle: int = SHINGL
     marked = cut(fingerprints(numbered, id_column, shingle, (row,), sketch=True))
     groups = group(marked, id_column, distance).select("fp", "root")
     groups = cut(groups)
-    far = links(groups, reach, 1)
+    far = links(groups, reach, int(reach > 7))  # beyond, variants on both sides make fewer rows than on one
     wanted = cut(far)
     needed = wanted.select(F.col("a").alias("fp")).union(wanted.select("b")).distinct()
     sketched = cut(marked.select("fp", "sketch").join(needed, "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch")))

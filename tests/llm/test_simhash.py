@@ -127,7 +127,7 @@ def test_dedup_catches_near_copies(spark):
         w = texts[k].copy()
         w[rng.choice(400, 5, replace=False)] = "changed"  # similarity about 0.88
         rows.append((100 + k, " ".join(w)))
-    kept = {r["doc_id"] for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r["doc_id"] for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string"), reach=10).collect()}
     assert set(range(60)) <= kept and len(kept) <= 63
 
 
