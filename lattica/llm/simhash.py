@@ -227,7 +227,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, radius: int = 0, parts: int
 
     Index rows: for each partition the values within ``radius`` bits of the fingerprint's. Probe rows: the values within
     its threshold less ``radius``. Both are keyed by (partition, value), so the join is an ordinary equi-join whose
-    hot values adaptive execution splits, and the bit count is part of its condition.
+    hot values adaptive execution splits, and the bit count is part of its condition. With a radius of 1 at most, so is that
+    the pair is met for the first time: in the first partition that finds it, at the index value flipped by the lowest bit that differs.
     If ``fps`` has a column ``root``, pairs of one root are known to be connected and are left out there as well.
     """
     groups, s = plan_partitions(fps, distance, parts, radius)
@@ -237,11 +238,13 @@ def links(fps: DataFrame, distance: int = DISTANCE, radius: int = 0, parts: int
     levels = s.shape[1] + 1
     known = "root" in fps.columns
     extra = ["root"] if known else []
+    once = radius <= 1 and m <= 16
 
     def rows(batches: Iterator[pa.RecordBatch], probe: bool) -> Iterator[pa.RecordBatch]:
         groups, s = shared.value
         flips = [masks(len(b), max(radius, levels - 2 - radius)) for b in groups]
-        names = ["part", "value", "fp", *extra]
+        names = ["part", "value", "fp", *extra, *["once"] * once]
+        places = [np.array([0, *(1 << at for at in bits)], np.uint64).view(np.int64) for bits in groups]
         for b in chunks(batches, 4096):
             fp = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
             root = [b.column(c).to_numpy(zero_copy_only=False) for c in extra]
@@ -256,21 +259,31 @@ def links(fps: DataFrame, distance: int = DISTANCE, radius: int = 0, parts: int
                     cost[i, 1:] = s[i][:, short] + PROBE_COST * np.array(made, float)[:, None]
                 chosen = allocate(cost, total)
                 reach = np.where(chosen < 0, -1, np.maximum(chosen - radius, 0))
+            # Four bits a partition: one more than the bits up to which it finds others.
+            found = sum((np.where(reach[i] < 0, 0, reach[i] + radius + 1).astype(np.int64) << 4 * i for i in range(m)), np.zeros(len(v), np.int64))
             for i in range(m):
                 for t, flip in enumerate(flips[i]):
                     take = reach[i] >= t
                     if take.any():
                         x = (values[i][take][:, None] ^ flip[None, :]).ravel()
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(x.view(np.int64)), *(pa.array(np.repeat(c[take], len(flip))) for c in (fp, *root))], names)
+                        more = [np.repeat(found[take], len(flip)) if probe else np.tile(places[i][t : t + len(flip)], take.sum())] if once else []
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(x.view(np.int64)), *(pa.array(np.repeat(c[take], len(flip))) for c in (fp, *root)), *map(pa.array, more)], names)
 
-    schema = "part int, value long, fp long" + ", root long" * known
+    schema = "part int, value long, fp long" + ", root long" * known + ", once long" * once
     source = fps.select("fp", *extra)
     index = source.mapInArrow(lambda it: rows(it, False), schema).alias("x")
     probes = source.mapInArrow(lambda it: rows(it, True), schema).alias("q")
     # Both of a pair probe, and each finds the other: the greater one's probe is enough.
-    near = (F.col("x.fp") < F.col("q.fp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("q.fp"))) <= distance)
+    differ = F.col("x.fp").bitwiseXOR(F.col("q.fp"))
+    near = (F.col("x.fp") < F.col("q.fp")) & (F.bit_count(differ) <= distance)
     if known:
         near &= F.col("x.root") != F.col("q.root")
+    if once:
+        masked = [differ.bitwiseAND(F.lit(int(np.array([sum(1 << at for at in bits)], np.uint64).view(np.int64)[0]))) for bits in groups]
+        for i, y in enumerate(masked):
+            top = F.lit(-(1 << 63)).cast("long")  # has no negative
+            near &= (F.col("x.part") != i) | (F.col("x.once") == F.when(y == top, top).otherwise(y.bitwiseAND(-y)) if radius else F.lit(True))
+            near &= (F.col("x.part") <= i) | (F.bit_count(y) >= F.shiftright("q.once", 4 * i).bitwiseAND(F.lit(15)))
     pairs = index.join(probes, (F.col("x.part") == F.col("q.part")) & (F.col("x.value") == F.col("q.value")) & near)
     return pairs.select(F.col("x.fp").alias("a"), F.col("q.fp").alias("b")).distinct()
 
@@ -294,7 +307,9 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", shingle: in
 
 #: Of the five-word shingles a text keeps the SKETCH smallest hashes: all, where it has no more.
 SKETCH = 256
-NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_DISTANCE = 5, 0.8, 7
+NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_DISTANCE = 5, 0.8, 10
+#: Groups are first joined within so many bits, so that the wider join leaves out the pairs in them.
+FIRST_REACH = 7
 #: What an estimate from full sketches may fall short: its standard error at 0.8 is 0.025.
 SLACK = 0.02
 
@@ -342,30 +357,34 @@ def alike(pairs: DataFrame, sketched: DataFrame, similarity: float = NEAR_SIMILA
     return rich.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def join_groups(marked: DataFrame, groups: DataFrame, reach: int, similarity: float) -> DataFrame:
+    """``groups`` (fp, root), joined further where fingerprints of ``marked`` (fp, sketch) within ``reach`` bits have like texts."""
+    wanted = cut(links(groups, reach, int(reach > 7)))  # beyond, variants on both sides make fewer rows than on one
+    needed = wanted.select(F.col("a").alias("fp")).union(wanted.select("b")).distinct()
+    sketched = cut(marked.select("fp", "sketch").join(needed, "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch")))
+    near = alike(wanted, sketched, similarity)
+    # Links between texts are links between their groups.
+    by = lambda c: groups.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}"))
+    edges = near.join(by("a"), "a").join(by("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    merged = components(edges).toDF("root", "final")
+    return cut(groups.join(merged, "root", "left").select("fp", F.coalesce("final", "root").alias("root")))
+
+
 def dedup(documents: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, similarity: float = NEAR_SIMILARITY, reach: int = NEAR_DISTANCE) -> DataFrame:
     """One row of each group, whole: that of the smallest id (nulls last), and of rows of one id the one of smallest text hash.
 
     Groups are those of ``near_duplicates``, joined further where fingerprints within ``reach`` bits belong to texts
-    whose five-word shingles have a Jaccard similarity of ``similarity`` (estimated from 256 shingles of the longer texts). Pairs that the first
+    whose five-word shingles have a Jaccard similarity of ``similarity`` (estimated from 256 shingles of the longer texts). Pairs that an earlier
     join has connected are not looked at again, so large groups of near copies do not grow into their pairs.
     The choice is made on ids and hashes; texts travel once, in the last join. Rows alike in id and text stay one.
     """
     row = fresh(documents.columns, "_row")
     numbered = documents.withColumn(row, F.xxhash64(id_column, "text"))
     marked = cut(fingerprints(numbered, id_column, shingle, (row,), sketch=True))
-    groups = group(marked, id_column, distance).select("fp", "root")
-    groups = cut(groups)
-    far = links(groups, reach, int(reach > 7))  # beyond, variants on both sides make fewer rows than on one
-    wanted = cut(far)
-    needed = wanted.select(F.col("a").alias("fp")).union(wanted.select("b")).distinct()
-    sketched = cut(marked.select("fp", "sketch").join(needed, "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch")))
-    near = alike(wanted, sketched, similarity)
-    # Links between texts are links between their groups.
-    by = lambda c: groups.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}"))
-    edges = near.join(by("a"), "a").join(by("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    merged = components(edges).toDF("root", "final")
+    groups = cut(group(marked, id_column, distance).select("fp", "root"))
+    for bits in sorted({min(FIRST_REACH, reach), reach}):
+        groups = join_groups(marked, groups, bits, similarity)
     # Rows are first reduced by fingerprint, with map-side combining, then by group.
     order = F.struct(F.col(id_column).isNull().alias("n"), F.col(id_column).alias("id"), F.col(row).alias("key"))
     best = marked.groupBy("fp").agg(F.min(order).alias("o")).join(groups, "fp").groupBy("root").agg(F.min("o").alias("o"))
-    best = best.join(merged, "root", "left").groupBy(F.coalesce("final", "root").alias("final")).agg(F.min("o").alias("o"))
     return numbered.join(best.select(F.col("o.key").alias(row)), row, "left_semi").dropDuplicates([row]).select(*documents.columns)

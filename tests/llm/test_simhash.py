@@ -131,6 +131,34 @@ def test_dedup_catches_near_copies(spark):
     assert set(range(60)) <= kept and len(kept) <= 63
 
 
+def near_texts(seed, sizes, n, changes):
+    """Texts, and copies of them with some words changed."""
+    rng = np.random.default_rng(seed)
+    words = np.array([f"word{k}" for k in range(5000)])
+    texts = [rng.choice(words, int(rng.choice(sizes))) for _ in range(n)]
+    for t in texts[:n]:
+        w = t.copy()
+        w[rng.choice(len(w), int(rng.integers(*changes) * len(w) // 100), replace=False)] = "changed"
+        texts.append(w)
+    return [" ".join(t) for t in texts]
+
+
+def brute_kept(texts, reach):
+    """The least of each group of texts within ``reach`` bits and of similarity 0.8, or within 3 bits."""
+    shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    all_ = list(zip(map(brute_fingerprint, texts), shingles, strict=True))
+    bits = lambda a, b: (a[0] ^ b[0]).bit_count()
+    return {k for k, r in enumerate(brute_groups(all_, lambda a, b: bits(a, b) <= 3 or bits(a, b) <= reach and len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1]))) if r == k}
+
+
+def test_dedup_reaches_ten_bits(spark):
+    texts = near_texts(8, [120, 150, 200], 80, (1, 3))
+    want = brute_kept(texts, 10)
+    assert want != brute_kept(texts, 7)
+    kept = {r["doc_id"] for r in simhash.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == want
+
+
 def test_resemblance():
     import pyarrow as pa
 
