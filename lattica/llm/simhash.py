@@ -57,16 +57,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE, keep: tuple[str, ...] = (), sketch: bool = False) -> DataFrame:
-    """The columns ``id_column`` and ``keep`` with ``fp``, the fingerprint as a signed 64-bit number, and on demand a sketch of five-word shingles."""
+    """The columns ``id_column`` and ``keep`` with ``fp``, the fingerprint as a signed 64-bit number, and on demand ``content``, a hash of the set of five-word shingles, and a sketch of it."""
     columns = [id_column, *keep]
-    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns) + ", fp long" + ", sketch binary" * sketch
+    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns) + ", fp long" + ", content long, sketch binary" * sketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             off, raw = utf8(b.column("_text"))
             fp = np.array([fingerprint(raw[s:e].tobytes(), shingle) for s, e in zip(off[:-1], off[1:], strict=True)], np.uint64)
-            more = [pa.array(sketches(b.column("_text")), pa.binary())] if sketch else []
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(fp.view(np.int64)), *more], [*columns, "fp", *["sketch"] * sketch])
+            more = []
+            if sketch:
+                sets = shingle_sets(b.column("_text"))
+                more = [pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)), pa.array([smallest(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(fp.view(np.int64)), *more], [*columns, "fp", *["content", "sketch"] * sketch])
 
     return documents.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
 
@@ -310,12 +313,14 @@ SKETCH = 256
 NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_DISTANCE = 5, 0.8, 10
 #: Groups are first joined within so many bits, so that the wider join leaves out the pairs in them.
 FIRST_REACH = 7
-#: What an estimate from full sketches may fall short: its standard error at 0.8 is 0.025.
-SLACK = 0.02
+#: What an estimate from full sketches may fall short without being far below: six times its standard error at 0.8, 0.025.
+SLACK = 0.15
+#: Rows whose keys are broadcast at most, to find their texts again.
+BROADCAST_ROWS = 1_000_000
 
 
-def sketches(texts: pa.Array, shingle: int = NEAR_SHINGLE, size: int = SKETCH) -> list[bytes]:
-    """For each text the smallest distinct 32-bit hashes of its word shingles, in order."""
+def shingle_sets(texts: pa.Array, shingle: int = NEAR_SHINGLE) -> list[np.ndarray]:
+    """For each text the distinct 64-bit hashes of its word shingles, in order."""
     row, h = words(texts)
     begin = np.searchsorted(row, np.arange(len(texts) + 1))
     out = []
@@ -325,11 +330,20 @@ def sketches(texts: pa.Array, shingle: int = NEAR_SHINGLE, size: int = SKETCH) -
         x = np.zeros(n, np.uint64)
         for j in range(k):
             x = mix(x * np.uint64(3) + h[s + j : s + j + n])
-        x = np.unique((x >> np.uint64(32)).astype("<u4"))
-        out.append(x[:size].tobytes())
+        out.append(np.unique(x))
     return out
 
 
+def smallest(hashes: np.ndarray, size: int = SKETCH) -> bytes:
+    """The sketch of a set: its smallest distinct 32-bit hashes, in order."""
+    return np.unique((hashes >> np.uint64(32)).astype("<u4"))[:size].tobytes()
+
+
+def sketches(texts: pa.Array, shingle: int = NEAR_SHINGLE, size: int = SKETCH) -> list[bytes]:
+    """For each text the smallest distinct 32-bit hashes of its word shingles, in order."""
+    return [smallest(x, size) for x in shingle_sets(texts, shingle)]
+
+
 def resemblance(a: bytes, b: bytes, size: int = SKETCH) -> tuple[float, bool]:
     """(Jaccard similarity, whether it is exact) from two sketches."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
@@ -341,28 +355,53 @@ def resemblance(a: bytes, b: bytes, size: int = SKETCH) -> tuple[float, bool]:
     return float(np.isin(both, x, assume_unique=True)[np.isin(both, y, assume_unique=True)].sum() / len(both)), exact
 
 
-def alike(pairs: DataFrame, sketched: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sketches in ``sketched`` (fp, sketch) resemble each other."""
+def alike(pairs: DataFrame, marked: DataFrame, texts: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """The fingerprints (a, b) of ``pairs`` that have texts whose shingle sets have a Jaccard similarity of ``similarity``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``marked`` (row, fp, content, sketch) tells the texts of a fingerprint, ``texts`` (row, text) holds them. Every distinct set of
+    one is compared with every one of the other. Sketches that are whole sets decide; others only rule out, and the sets are made of the texts again.
+    """
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, 4096):
-            ok = []
+            keep, sure = [], []
             for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
                 r, exact = resemblance(x, y)
-                ok.append(r >= (similarity if exact else similarity - SLACK))
+                keep.append(r >= (similarity if exact else similarity - SLACK))
+                sure.append(exact)
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "ra", "rb")), pa.array(sure, pa.bool_())], ["a", "b", "ra", "rb", "sure"])
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([x.tobytes() for x in shingle_sets(b.column("text"))], pa.binary())], ["row", "hashes"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            ok = []
+            for x, y in zip(b.column("ha"), b.column("hb"), strict=True):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
-    rich = pairs.join(sketched.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a").join(sketched.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b")
-    return rich.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    distinct = cut(marked.join(needed, "fp", "left_semi").groupBy("fp", "content").agg(F.min("sketch").alias("sketch"), F.min("row").alias("row")))
+    side = lambda c: distinct.select(F.col("fp").alias(c), F.col("row").alias(f"r{c}"), F.col("sketch").alias(f"s{c}"))
+    judged = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(judge, "a long, b long, ra long, rb long, sure boolean"))
+    open_ = judged.where("not sure")
+    rows = cut(open_.select(F.col("ra").alias("row")).union(open_.select("rb")).distinct())
+    held = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    sets = cut(texts.join(held, "row", "left_semi").dropDuplicates(["row"]).mapInArrow(full, "row long, hashes binary"))
+    rich = open_.join(sets.select(F.col("row").alias("ra"), F.col("hashes").alias("ha")), "ra").join(sets.select(F.col("row").alias("rb"), F.col("hashes").alias("hb")), "rb")
+    return judged.where("sure").select("a", "b").union(rich.select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long"))
 
 
-def join_groups(marked: DataFrame, groups: DataFrame, reach: int, similarity: float) -> DataFrame:
-    """``groups`` (fp, root), joined further where fingerprints of ``marked`` (fp, sketch) within ``reach`` bits have like texts."""
+def join_groups(marked: DataFrame, texts: DataFrame, groups: DataFrame, reach: int, similarity: float) -> DataFrame:
+    """``groups`` (fp, root), joined further where fingerprints of ``marked`` within ``reach`` bits have like texts."""
     wanted = cut(links(groups, reach, int(reach > 7)))  # beyond, variants on both sides make fewer rows than on one
-    needed = wanted.select(F.col("a").alias("fp")).union(wanted.select("b")).distinct()
-    sketched = cut(marked.select("fp", "sketch").join(needed, "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch")))
-    near = alike(wanted, sketched, similarity)
+    near = alike(wanted, marked, texts, similarity)
     # Links between texts are links between their groups.
     by = lambda c: groups.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}"))
     edges = near.join(by("a"), "a").join(by("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
@@ -374,7 +413,7 @@ def dedup(documents: DataFrame, id_column: str = "doc_id", shingle: int = SHINGL
     """One row of each group, whole: that of the smallest id (nulls last), and of rows of one id the one of smallest text hash.
 
     Groups are those of ``near_duplicates``, joined further where fingerprints within ``reach`` bits belong to texts
-    whose five-word shingles have a Jaccard similarity of ``similarity`` (estimated from 256 shingles of the longer texts). Pairs that an earlier
+    whose five-word shingles have a Jaccard similarity of ``similarity`` (of whole texts). Pairs that an earlier
     join has connected are not looked at again, so large groups of near copies do not grow into their pairs.
     The choice is made on ids and hashes; texts travel once, in the last join. Rows alike in id and text stay one.
     """
@@ -383,7 +422,7 @@ def dedup(documents: DataFrame, id_column: str = "doc_id", shingle: int = SHINGL
     marked = cut(fingerprints(numbered, id_column, shingle, (row,), sketch=True))
     groups = cut(group(marked, id_column, distance).select("fp", "root"))
     for bits in sorted({min(FIRST_REACH, reach), reach}):
-        groups = join_groups(marked, groups, bits, similarity)
+        groups = join_groups(marked.withColumnRenamed(row, "row"), numbered.select(F.col(row).alias("row"), "text"), groups, bits, similarity)
     # Rows are first reduced by fingerprint, with map-side combining, then by group.
     order = F.struct(F.col(id_column).isNull().alias("n"), F.col(id_column).alias("id"), F.col(row).alias("key"))
     best = marked.groupBy("fp").agg(F.min(order).alias("o")).join(groups, "fp").groupBy("root").agg(F.min("o").alias("o"))

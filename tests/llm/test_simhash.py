@@ -159,6 +159,27 @@ def test_dedup_reaches_ten_bits(spark):
     assert kept == want
 
 
+def test_dedup_verifies_whole_texts(spark):
+    texts = near_texts(9, [300, 400, 700], 80, (1, 4))
+    kept = {r["doc_id"] for r in simhash.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == brute_kept(texts, 10)
+
+
+@pytest.mark.parametrize("size", [100, 600])
+def test_all_texts_of_a_fingerprint_are_compared(spark, size):
+    a, b = (" ".join(f"{c}{k}" for k in range(size)) for c in "ab")
+    rows = [(1, 10, a), (2, 20, b), (3, 10, b + " end"), (4, 20, a + " end"), (5, 30, "c " + b), (6, 40, "something else"), (7, 20, b)]
+    for first, second in ((a, b), (b, a)):  # whichever has the lesser sketch
+        rows[0], rows[2] = (1, 10, first), (3, 10, second + " end")
+        texts = [t for _, _, t in rows]
+        import pyarrow as pa
+
+        marked = spark.createDataFrame([(r, fp, hash(t), bytearray(s)) for (r, fp, t), s in zip(rows, simhash.sketches(pa.array(texts)), strict=True)], "row long, fp long, content long, sketch binary")
+        pairs = spark.createDataFrame([(10, 30), (20, 30), (10, 40), (30, 40)], "a long, b long")
+        got = simhash.alike(pairs, marked, spark.createDataFrame([(r, t) for r, _, t in rows], "row long, text string"))
+        assert {tuple(r) for r in got.collect()} == {(10, 30), (20, 30)}
+
+
 def test_resemblance():
     import pyarrow as pa
 
