@@ -41,9 +41,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits.withColumnRenamed("doc_id", "_hit"), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti").select(*docs.columns)
+    """Documents that hold no passage of the benchmark: rows are told by id and text, as ids may be null or repeat."""
+    row = fresh(docs.columns, "_row")
+    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    hits = decontaminate.contaminated(marked, table(spark, sf_dir, "benchmark"), id_column=row).select(row).distinct()
+    return marked.join(hits, row, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,10 @@ def test_edges(spark, data, stage, table, request):
     assert table == "edge" or not rows
     if stage[0] != "packing":
         assert out.columns == docs.columns
+
+
+def test_decontamination_goes_by_row(spark, data):
+    item = max((r["text"] or "" for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()), key=len)
+    rows = [(None, item), (None, "a clean text without an id"), (None, None), (7, f"before {item} after"), (7, "another clean text of that id"), (8, "clean"), (9, item), (9, item)]
+    out = corpus_pipeline.decontaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), data).collect()
+    assert {(r["doc_id"], r["text"]) for r in out} == {(None, "a clean text without an id"), (None, None), (7, "another clean text of that id"), (8, "clean")} and len(out) == 4
