@@ -30,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later repeats of runs of lines."""
     gone = fresh(docs.columns, "n_removed")
-    out = lines.dedup(docs, count_column=gone)
+    out = lines.dedup(docs, count_column=gone, whole_runs=True)
     n_chars = F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -126,3 +126,39 @@ def test_long_passages_go(spark):
     docs = spark.createDataFrame([(d, f"own line {d}\n{passage}\nlast line {d}") for d in range(20)], "doc_id long, text string")
     kept = [r["doc_id"] for r in lines.dedup(docs).collect() if passage in r["text"]]
     assert kept == [0]
+
+
+def brute_runs(docs, min_words):
+    """Lines that hold words, of each document without those in runs of enough words that it shares with an earlier place."""
+    full = [(d, [" ".join(x.split()) for x in text.split("\n") if x.split()]) for d, text in sorted(set(docs))]
+    out = {}
+    for a, (d, x) in enumerate(full):
+        gone = set()
+        for b, (_, y) in enumerate(full[: a + 1]):
+            for i in range(len(x)):
+                for j in range(len(y) if b < a else i):
+                    k = 0
+                    while i + k < len(x) and j + k < len(y) and x[i + k] == y[j + k]:
+                        k += 1
+                    if sum(len(z.split()) for z in x[i : i + k]) >= min_words:
+                        gone.update(range(i, i + k))
+        out[d] = [z for k, z in enumerate(x) if k not in gone]
+    return out
+
+
+@pytest.mark.parametrize("min_words", [5, 12, 30])
+def test_whole_runs_match_brute_force(spark, min_words):
+    docs = corpus(min_words)
+    out = lines.dedup(spark.createDataFrame(docs, "doc_id long, text string"), min_words=min_words, whole_runs=True).collect()
+    got = {r["doc_id"]: [" ".join(x.split()) for x in r["text"].split("\n") if x.split()] for r in out}
+    assert got == brute_runs(docs, min_words)
+
+
+@pytest.mark.parametrize("sizes", [(25, 25, 3), (60, 40), (3, 25, 25), (50, 1, 50, 1)])
+def test_pipeline_deletes_the_end_of_a_run(spark, sizes):
+    import corpus_pipeline
+
+    passage = "\n".join(" ".join(f"p{k}x{j}" for j in range(n)) for k, n in enumerate(sizes))
+    docs = spark.createDataFrame([(d, f"own {d}\n{passage}\nlast {d}", 0) for d in range(3)], "doc_id long, text string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert out[1] == "own 1\nlast 1" and out[2] == "own 2\nlast 2" and passage in out[0]
