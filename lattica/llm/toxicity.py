@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import chunks, crc_mod, cut, sampled_texts
+from lattica.llm.words import mix
 
 #: Bound of the training sample: documents for each label value.
 SAMPLE = 4_000
@@ -61,8 +62,14 @@ def terms(words: set[str]) -> set[str]:
 
 
 def likeness_key(words: set[str]) -> int:
-    """Equal for near copies most of the time: the least hash of the words."""
-    return min((zlib.crc32(w.encode()) for w in words), default=0)
+    """Equal for near copies most of the time, and for texts that share some words hardly ever: four min-hashes of the words in one."""
+    if not words:
+        return 0
+    c = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words))
+    key = np.zeros(1, np.uint64)
+    for k in range(4):
+        key = mix(key * np.uint64(3) + mix(c + np.uint64(k << 32)).min())
+    return int(key.view(np.int64)[0])
 
 
 def choose_lexicon(counts: list[tuple[str, int, int]], n1: int, n0: int) -> dict[str, float]:

@@ -1,5 +1,7 @@
 """Operators 1, 3 and 10: accuracy on held-out rows, and defined results on edge cases."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +109,13 @@ def test_grams_do_not_cross_texts():
     for k, t in enumerate(texts):
         alone = language.predict([t], model)
         assert alone[0][0] == together[0][k] and abs(alone[1][0] - together[1][k]) < 1e-9
+
+
+def test_likeness_key_merges_near_copies_only():
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(2000)]
+    common = min(words, key=lambda w: zlib.crc32(w.encode()))
+    texts = [{common, *rng.choice(words, 80)} for _ in range(100)]
+    assert len({toxicity.likeness_key(t) for t in texts}) == 100
+    near = [toxicity.likeness_key(t) == toxicity.likeness_key({*t, "added"}) for t in texts]
+    assert sum(near) > 80 and toxicity.likeness_key(set()) == 0
