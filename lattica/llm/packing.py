@@ -1,9 +1,13 @@
 """Operator 5, best-fit packing by a configuration linear program.
 
 The histogram of piece lengths, at most 2048 numbers whatever the input, is covered by configurations (multisets of
-lengths that fit one sequence). Multiplicative weights solve the covering program: each round a knapsack dynamic program
-prices the best configuration for the present weights. The fractional solution is rounded down and the rest packed
-by best fit. Pieces are then dealt to the slots of their length by rank, each in place.
+lengths that fit one sequence). Multiplicative weights solve the covering program: a knapsack dynamic program
+prices all rooms for the present weights, and from its table many configurations are read whose value is within a tolerance of the
+best price; each is taken a share of what is left of its scarcest length, in whole sequences, so that the solution is
+rounded as it grows. Met lengths lose weight, and the next round prices anew. A price turns the weights into a feasible dual solution, whose value
+is a lower bound on the number of sequences. The program ends where no configuration is within GAP of the price, and what is
+left then is packed by best fit. Full pieces are sequences of their own and are not ranked. The others are dealt to the slots of their length by rank: tasks count
+their pieces of each length, and the sums over the tasks before give each its first rank.
 
 Defined results: a null text is an empty one, whose only token is the end mark; rows that repeat are packed each;
 an empty table gives an empty result; extra columns are not read.
@@ -14,24 +18,27 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import chunks, cut
 
 CAPACITY = 2048
 END = 0
-ROUNDS = 300
 #: Weights start as this power of the lengths: over 1, so of equal fills the one with the longer pieces is priced best.
-TILT = 1.01
-#: How fast the weight of a length falls with the share of its demand that is met.
-EPSILON = 0.02
-#: Salts of a length's ranks: no length's pieces are ranked in one task.
-SALTS = 64
+TILT = 1.05
+#: The weight of a length falls by this factor's exponential as its demand is met.
+ETA = 0.1
+#: The share of a length's demand that a round may meet, one piece at least.
+STEP = 0.125
+#: A configuration is taken if its value falls short of the price by no more than this; doubled while none is found, up to GAP.
+TOLERANCE, GAP = 0.003, 0.03
 
 
 @lru_cache(maxsize=2)
@@ -83,14 +90,14 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def pieces(documents: DataFrame, tokenizer: str, id_column: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """(id, piece, start, length, ids_crc32) of all documents, each with the end mark."""
+    """(id, piece, start, length, ids_crc32, task, nth) of all documents, each with the end mark; the piece is the ``nth`` of its length in its task."""
     kind = documents.schema[id_column].dataType.simpleString()
-    names = [id_column, "piece", "start", "length", "ids_crc32"]
+    names = [id_column, "piece", "start", "length", "ids_crc32", "task", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode, seen, task = encoder(tokenizer), Counter(), TaskContext.get().partitionId()
         for b in chunks(batches, 128):
-            row, piece, start, length, crc = [], [], [], [], []
+            row, piece, start, length, crc, nth = [], [], [], [], [], []
             for k, ids in enumerate(encode([t or "" for t in b.column("text").to_pylist()])):
                 ids.append(END)
                 data = np.array(ids, "<u4")
@@ -100,62 +107,84 @@ def pieces(documents: DataFrame, tokenizer: str, id_column: str = "doc_id", capa
                     start.append(s)
                     length.append(n)
                     crc.append(zlib.crc32(data[s : s + n]))
-            yield pa.RecordBatch.from_arrays([b.column(id_column).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names)
+                    nth.append(seen[n])
+                    seen[n] += 1
+            ints = (pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(row), pa.int32()), pa.array(nth, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(id_column).take(pa.array(row, pa.int64())), *ints], names)
 
-    return documents.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return documents.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
-def best_configuration(values: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
-    """The knapsack of greatest value over repeated lengths, by dynamic programming; (length to times, value)."""
+def prices(values: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The greatest value of repeated lengths in each room up to ``capacity``."""
     f = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        k = int(np.searchsorted(lengths, c, side="right"))
-        f[c] = f[c - 1]
-        if k:
-            v = f[c - lengths[:k]] + values[:k]
-            i = int(v.argmax())
-            if v[i] > f[c] + 1e-15:
-                f[c], pick[c] = v[i], i
-    out: Counter = Counter()
-    c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-            continue
-        out[int(lengths[pick[c]])] += 1
-        c -= int(lengths[pick[c]])
-    # A length that there are too few of is trimmed; best fit sees to the room that leaves.
-    have = {int(n): int(k) for n, k in zip(lengths, counts, strict=True)}
-    return {n: min(t, have[n]) for n, t in out.items()}, float(f[capacity])
-
-
-def configuration_lp(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], float]]:
-    """(lengths, how often): a fractional cover of the histogram, by multiplicative weights.
-
-    Weights start as a power of the lengths. A length whose demand a configuration has met in part loses weight in
-    proportion, so later configurations turn to what is left; each takes all of its scarcest length.
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    for room in range(1, capacity + 1):
+        k = fitting[room]
+        f[room] = max(f[room - 1], (f[room - lengths[:k]] + values[:k]).max()) if k else f[room - 1]
+    return f
+
+
+def configuration(f: np.ndarray, values: np.ndarray, lengths: np.ndarray, have: np.ndarray, wish: np.ndarray, slack: float) -> dict[int, int] | None:
+    """(place in ``lengths``: times) of a configuration out of ``have`` pieces that is worth the price less ``slack`` at least: of the lengths that allow for it the one of greatest ``wish`` each time."""
+    room, own = len(f) - 1, {}
+    usable = have >= 1
+    while room:
+        k = int(np.searchsorted(lengths, room, side="right"))
+        loss = f[room] - values[:k] - f[room - lengths[:k]]
+        able = np.flatnonzero((loss <= slack) & usable[:k])
+        if not len(able):
+            break
+        i = int(able[wish[able].argmax()])
+        own[i] = own.get(i, 0) + 1
+        usable[i] = have[i] >= own[i] + 1
+        slack -= loss[i]
+        room -= int(lengths[i])
+    return own if own and f[room] <= slack + 1e-12 else None
+
+
+def best_configuration(values: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
+    """The knapsack of greatest value over repeated lengths, by dynamic programming; (length to times, value), and no length if there are too few pieces for it."""
+    f = prices(values, lengths, capacity)
+    own = configuration(f, values, lengths, counts, values, 1e-12 * max(1.0, f[-1])) or {}
+    return {int(lengths[i]): k for i, k in own.items()}, float(f[-1])
+
+
+@dataclass(frozen=True)
+class Cover:
+    """Configurations (lengths, how often), the pieces of each length that are left, and a lower bound on the sequences of all pieces, by duality."""
+
+    configurations: list[tuple[tuple[int, ...], int]]
+    left: dict[int, int]
+    bound: float
+
+
+def configuration_lp(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, step: float = STEP) -> Cover:
+    """Cover the histogram by multiplicative weights; with an infinite ``gap`` all of it.
+
+    Each round meets a ``step`` of a length's demand at most. Its configurations are within the tolerance of the round's price, and the tolerance
+    grows to ``gap`` only while there are none, so the program ends.
     """
     lengths = np.array(sorted(counts), np.int64)
     demand = np.array([counts[n] for n in lengths], float)
-    at = {int(n): k for k, n in enumerate(lengths)}
-    met, used = np.zeros(len(lengths)), Counter()
-    log_w = TILT * np.log(lengths / capacity)
-    for _ in range(rounds):
-        left = np.maximum(demand - met, 0)
-        if left.sum() * 1e3 <= demand.sum():
-            break
-        values = np.where(left > 0, np.exp(log_w - log_w.max()), 0)
-        config, _ = best_configuration(values, lengths, demand, capacity)
-        if not config:
-            break
-        keys = np.array([at[n] for n in config])
-        times = np.array(list(config.values()), float)
-        step = float(np.min(left[keys] / times))
-        used[tuple(sorted((n for n, t in config.items() for _ in range(t)), reverse=True))] += step
-        met[keys] += step * times
-        log_w[keys] -= EPSILON * step * times / demand[keys]
-    return sorted(used.items())
+    left, base, used = demand.copy(), (lengths / capacity) ** TILT, Counter()
+    bound, tolerance = float((lengths * demand).sum() / capacity), TOLERANCE
+    while left.any() and tolerance <= max(gap, TOLERANCE):
+        met = 1 - left / demand
+        values = np.where(left > 0, base * np.exp(-ETA * (met - met.min())), 0)
+        f = prices(values, lengths, capacity)
+        bound = max(bound, float((values * demand).sum() / f[-1]))
+        quota = np.minimum(left, np.maximum(np.ceil(step * demand), 1))
+        whole, found = np.maximum(quota, 1), False
+        while own := configuration(f, values, lengths, np.where(quota >= 1, left, 0), quota / whole + 1e-3 * lengths / capacity, tolerance * f[-1]):
+            i, k = np.array(list(own)), np.array(list(own.values()), float)
+            times = max(1.0, float((quota[i] // k).min()))
+            used[tuple(sorted((int(lengths[at]) for at, n in own.items() for _ in range(n)), reverse=True))] += int(times)
+            quota[i] -= times * k
+            left[i] -= times * k
+            found = True
+        tolerance = TOLERANCE if found else 2 * tolerance
+    return Cover(sorted(used.items()), {int(n): int(k) for n, k in zip(lengths, left, strict=True) if k}, bound)
 
 
 def best_fit(left: dict[int, int], capacity: int) -> Counter:
@@ -192,22 +221,16 @@ def best_fit(left: dict[int, int], capacity: int) -> Counter:
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, how often): whole configurations that hold exactly the histogram."""
     counts = {int(n): int(k) for n, k in counts.items() if k}
-    out: Counter = Counter()
-    left = dict(counts)
-    for config, x in sorted(configuration_lp(counts, capacity, rounds), key=lambda c: (sum(c[0]) != capacity, -c[1], c[0])):
-        need = Counter(config)
-        k = min([int(x), *(left[n] // t for n, t in need.items())])
-        if k > 0 and sum(config) > 0.9995 * capacity:  # what is filled worse is left to best fit
-            out[config] += k
-            for n, t in need.items():
-                left[n] -= k * t
-    rest = best_fit({n: k for n, k in left.items() if k}, capacity)
-    plain = best_fit(counts, capacity)
-    out.update(rest)
-    return sorted((out if sum(out.values()) <= sum(plain.values()) else plain).items(), reverse=True)
+    full = counts.pop(capacity, 0)
+    cover = configuration_lp(counts, capacity)
+    out = Counter(dict(cover.configurations))
+    out.update(best_fit(cover.left, capacity))
+    if full:
+        out[(capacity,)] += full
+    return sorted(out.items(), reverse=True)
 
 
 def slots(config_counts: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -225,38 +248,35 @@ def slots(config_counts: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[n
     return {n: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for n, r in runs.items()}
 
 
-def pack(documents: DataFrame, tokenizer: str, id_column: str = "doc_id", capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, id_column: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): one row for each piece."""
-    cutted = cut(pieces(documents, tokenizer, id_column, capacity).withColumn("_salt", F.pmod(F.xxhash64(id_column, "piece", "ids_crc32"), F.lit(salts)).cast("int")))
-    rows = cutted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()  # capacity * salts rows at most
-    sizes: Counter = Counter()
-    first: dict[tuple[int, int], int] = {}
-    for r in sorted(rows, key=lambda r: (r["length"], r["_salt"])):
-        first[r["length"], r["_salt"]] = sizes[r["length"]]
-        sizes[r["length"]] += r["n"]
-    dealt = cutted.sparkSession.sparkContext.broadcast((first, slots(plan(sizes, capacity))))
-    kind = documents.schema[id_column].dataType.simpleString()
-    names = [id_column, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    schema = f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    kept = ["piece", "start", "length", "ids_crc32"]
+    made = cut(pieces(documents.withColumnRenamed(id_column, "_id"), tokenizer, "_id", capacity))
+    tasks = made.where(F.col("length") < capacity).groupBy("length", "task").agg(F.count("*").alias("n"))
+    sizes = {r["length"]: r["n"] for r in tasks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # fewer rows than capacity
+    planned = plan(sizes, capacity)
+    dealt = made.sparkSession.sparkContext.broadcast(slots(planned))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    first = tasks.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    ranked = made.where(F.col("length") < capacity).join(first, ["length", "task"]).select("_id", *kept, (F.col("first") + F.col("nth")).alias("rank"))
+    names = ["_id", *kept, "sequence_id", "offset"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of one (length, salt) come together, so ranks are counted along the way."""
-        first, runs = dealt.value
-        now, rank = None, 0
+        runs = dealt.value
         for b in batches:
-            length, salt = b.column("length").to_numpy(), b.column("_salt").to_numpy()
+            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
             seq, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            edges = np.flatnonzero(np.r_[True, (length[1:] != length[:-1]) | (salt[1:] != salt[:-1])]) if len(length) else np.zeros(0, int)
-            for s, e in zip(edges, [*edges[1:], len(length)], strict=True):
-                key = (int(length[s]), int(salt[s]))
-                if key != now:
-                    now, rank = key, first[key]
-                ranks = np.arange(rank, rank + e - s)
-                begin, base, place_at = runs[key[0]]
-                k = np.searchsorted(begin, ranks, side="right") - 1
-                seq[s:e] = base[k] + ranks - begin[k]
-                offset[s:e] = place_at[k]
-                rank += e - s
+            order = np.argsort(length, kind="stable")
+            edges = np.flatnonzero(np.diff(length[order], prepend=-1))
+            for own in np.split(order, edges[1:]) if len(order) else []:
+                begin, base, at = runs[int(length[own[0]])]
+                k = np.searchsorted(begin, rank[own], side="right") - 1
+                seq[own] = base[k] + rank[own] - begin[k]
+                offset[own] = at[k]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:5]), pa.array(seq), pa.array(offset)], names)
 
-    return cutted.repartition("length", "_salt").sortWithinPartitions("length", "_salt", id_column, "piece").mapInArrow(place, schema)
+    kind = made.schema["_id"].dataType.simpleString()
+    short = ranked.mapInArrow(place, f"_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    alone = sum(k for _, k in planned) + F.monotonically_increasing_id()
+    full = made.where(F.col("length") == capacity).select("_id", *kept, alone.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return short.unionByName(full).withColumnRenamed("_id", id_column)

@@ -74,3 +74,57 @@ def test_configurations_price_best():
 
 def test_cuts():
     assert packing.cuts(1) == [(0, 1)] and packing.cuts(2048) == [(0, 2048)] and packing.cuts(4100) == [(0, 4), (4, 2048), (2052, 2048)]
+
+
+def least_sequences(lengths, capacity):
+    """The fewest sequences, by trying all ways to add each piece to an open one or a new one."""
+    best = len(lengths)
+
+    def go(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= lengths[k]}:
+            rest = list(rooms)
+            rest.remove(room)
+            go(k + 1, [*rest, room - lengths[k]])
+        go(k + 1, [*rooms, capacity - lengths[k]])
+
+    go(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_program_against_the_optimum(seed):
+    """The whole cover holds the histogram; bound <= optimum <= cover; copies of an instance bring the cover near the bound's side of the optimum."""
+    rng = np.random.default_rng(seed)
+    lengths = sorted(rng.integers(2, 13, 9).tolist(), reverse=True)
+    counts = Counter(lengths)
+    cover = packing.configuration_lp(counts, 20, gap=float("inf"))
+    assert not cover.left and sum((Counter({n: c.count(n) * k for n in c}) for c, k in cover.configurations), Counter()) == counts
+    assert all(sum(c) <= 20 and k > 0 for c, k in cover.configurations)
+    best, n = least_sequences(lengths, 20), sum(k for _, k in cover.configurations)
+    assert cover.bound <= best + 1e-9 and best <= n <= best + 1
+    many = packing.configuration_lp({n: 1000 * k for n, k in counts.items()}, 20, gap=float("inf"))
+    total = sum(k for _, k in many.configurations)
+    assert many.bound <= total <= 1000 * best * 1.05 and many.bound <= 1000 * best + 1e-6
+
+
+def test_program_holds_most_pieces():
+    rng = np.random.default_rng(0)
+    counts = Counter(np.minimum(2047, rng.lognormal(6, 1, 10_000).astype(int) + 1).tolist())
+    cover = packing.configuration_lp(counts)
+    held = sum(len(c) * k for c, k in cover.configurations)
+    assert held + sum(cover.left.values()) == 10_000 and held >= 9_000
+    assert sum(k for _, k in packing.plan(counts)) <= min(cover.bound * 1.002 + 1, sum(packing.best_fit(counts, 2048).values()))
+
+
+def test_many_full_pieces_need_no_rank(spark):
+    text = " ".join("word" for _ in range(5000))
+    out = packing.pack(spark.createDataFrame([(k % 3, text, "x") for k in range(40)], "doc_id long, text string, task string"), PATH).toPandas()
+    assert (out.groupby("sequence_id")["length"].sum() <= 2048).all() and (out["length"] == 2048).sum() == 80
+    for _, g in out.groupby("sequence_id"):
+        assert sorted(g["offset"]) == np.cumsum([0, *g.sort_values("offset")["length"]])[:-1].tolist()
