@@ -1,19 +1,21 @@
 """Operator 9, token counts: a count-only Viterbi over a unigram vocabulary.
 
 An Aho-Corasick automaton enumerates the vocabulary's matches in a word; dynamic programming carries, for each place, the
-best score and its number of pieces, never the pieces. Words do not share pieces, so the counts of a text's words
-add up; each worker keeps the counts of words that it has met, up to a bound.
+best score and its number of pieces, never the pieces. Pieces may hold any blanks: a text is parted only before a blank, or a run of blanks,
+that no piece of the vocabulary reaches over, and the counts of the parts add up; each worker keeps the counts of parts that it has met, up to a bound.
 
-Rules, as unigram tokenizers have them: a word starts with its blank, written as U+2581, and so does the text; matches of a place are taken from the earliest
+Rules, as unigram tokenizers have them: blanks are written as U+2581, and a text starts with one more; matches of a place are taken from the earliest
 start on and replace the best one only with a higher score, so of equal scores the longest last piece stays; a character that no
 one-character piece covers counts as unknown, with the lowest score less ten, and gives one token for each
-of its UTF-8 bytes if the vocabulary has all bytes, else neighbouring unknowns are one token.
+of its UTF-8 bytes if the vocabulary has all bytes, else neighbouring unknowns are one token. With ``split`` every blank starts a word of its own
+and no piece reaches over one, as after a Metaspace splitter.
 
 Defined results: null and empty texts count 0; repeated rows count alike; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from math import inf
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame
 from lattica.llm.common import chunks
 
 BLANK = "▁"
+#: A run of blanks with what follows it.
+PART = re.compile(r" +[^ ]*")
 PENALTY = 10.0
 #: Words of a generation of which a worker remembers the count.
 REMEMBERED = 300_000
@@ -44,13 +48,14 @@ def load_vocabulary(path: str) -> tuple[dict[str, float], bool]:
 
 
 class Counter(dict):
-    """Word (without its blank) to its number of pieces; what is missing is counted and remembered.
+    """Word (without its first blank) to its number of pieces; what is missing is counted and remembered.
 
     Two generations of ``remembered`` words at most: a full one becomes the older, from which words come back when they are met.
     """
 
-    def __init__(self, vocabulary: dict[str, float], bytes_known: bool, remembered: int = REMEMBERED):
+    def __init__(self, vocabulary: dict[str, float], bytes_known: bool, remembered: int = REMEMBERED, split: bool = True):
         super().__init__()
+        self.split = split
         self.older: dict[str, int] = {}
         self.remembered, self.bytes_known = remembered, bytes_known
         self.automaton = ahocorasick.Automaton()
@@ -59,6 +64,8 @@ class Counter(dict):
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.single = frozenset(p for p in vocabulary if len(p) == 1)
+        # Pieces that reach from a letter to a blank, or unknown blanks that join unknown letters, leave no place to part a text at.
+        self.whole = any(re.search(f"[^{BLANK}]{BLANK}", p) for p in vocabulary) or not (bytes_known or BLANK in vocabulary)
         self.unknown = min(vocabulary.values(), default=0.0) - PENALTY
 
     def __missing__(self, word: str) -> int:
@@ -109,12 +116,18 @@ class Counter(dict):
         return count[n]
 
     def text(self, text: str | None) -> int:
-        return sum(map(self.__getitem__, text.replace(BLANK, " ").split(" "))) if text else 0
+        if not text:
+            return 0
+        text = text.replace(BLANK, " ")
+        if self.split or not (self.whole or "  " in text or text[0] == " "):
+            return sum(map(self.__getitem__, text.split(" ")))
+        parts = [text] if self.whole else PART.findall(" " + text)
+        return sum(self[p[not self.whole :].replace(" ", BLANK)] for p in parts)
 
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(*load_vocabulary(path))
+    return Counter(*load_vocabulary(path), split=False)
 
 
 def token_counts(documents: DataFrame, vocabulary: str, id_column: str = "doc_id") -> DataFrame:

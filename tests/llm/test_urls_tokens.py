@@ -93,6 +93,49 @@ def test_ties_and_unknowns_match_the_library(bytes_known):
             assert c.text(text) == t(text), (pieces, text)
 
 
+def whole_library(vocabulary, bytes_known):
+    """The library's model over a whole text, without a splitter."""
+    vocab = [("<unk>", 0.0), *([(f"<0x{b:02X}>", 0.0) for b in range(256)] if bytes_known else []), *vocabulary.items()]
+    t = Tokenizer(models.Unigram(vocab, 0, bytes_known))
+    return lambda text: len(t.encode("▁" + text.replace(" ", "▁"), add_special_tokens=False).ids) if text else 0
+
+
+BLANKS = [*TEXTS, "x    y", "def f():\n    return  1", " " * 40, "a" + " " * 8 + "b", "  indented\n        more   \n", "| a   | bb  |    c|", "▁ ▁▁▁  x"]
+
+
+@pytest.mark.parametrize("bytes_known", [True, False])
+def test_runs_of_blanks_match_the_library(bytes_known):
+    vocabulary, _ = tokencount.load_vocabulary(PATH)
+    t, c = whole_library(vocabulary, bytes_known), tokencount.Counter(vocabulary, bytes_known, split=False)
+    for text in BLANKS:
+        assert c.text(text) == t(text), text
+    assert tokencount.Counter(vocabulary, bytes_known).text("x    y") > c.text("x    y")
+
+
+@pytest.mark.parametrize("bytes_known", [True, False])
+@pytest.mark.parametrize("inner", ["any", "runs", "none"])
+def test_pieces_with_blanks_match_the_library(bytes_known, inner):
+    rng = np.random.default_rng(4)
+    for _ in range(80):
+        pieces = {"".join(rng.choice(list("▁▁ab"), rng.integers(1, 5))): float(-rng.integers(1, 4)) for _ in range(12)}
+        if inner != "any":
+            pieces = {p: s for p, s in pieces.items() if "▁" not in p.lstrip("▁") and (inner == "runs" or p != "▁")}
+        if not pieces:
+            continue
+        t, c = whole_library(pieces, bytes_known), tokencount.Counter(pieces, bytes_known, split=False)
+        for _ in range(20):
+            text = "".join(rng.choice(list("abc   "), rng.integers(1, 14)))
+            assert c.text(text) == t(text), (pieces, text)
+
+
+def test_query_counts_runs_of_blanks(spark):
+    vocabulary, known = tokencount.load_vocabulary(PATH)
+    t = whole_library(vocabulary, known)
+    rows = list(enumerate(BLANKS))
+    got = tokencount.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {k: t(x) for k, x in rows}
+
+
 def test_memory_is_bounded():
     c = tokencount.Counter({"a": -1.0, "▁": -1.0}, False, remembered=5)
     assert [c.text("a" * k) for k in range(1, 20)] == [k + 1 for k in range(1, 20)] and len(c) <= 5 and len(c.older) <= 5
