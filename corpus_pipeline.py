@@ -17,6 +17,8 @@ from lattica.llm.common import crc_mod, fresh, remove, shared_folder, table
 
 #: A document goes if its language is ``und`` or less probable than this.
 MIN_LANGUAGE_SCORE = 0.5
+#: Candidates of the SimHash stage: fingerprints of two-word shingles within so many bits. The README has their recall.
+NEAR_WORDS, NEAR_REACH = 2, 9
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +38,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of smallest doc_id, the first of equal rows."""
-    return simhash.dedup(docs)
+    """One document of each near-duplicate group: the one of smallest doc_id, the first of equal rows.
+
+    Null and empty texts are one group; a null doc_id sorts last; extra columns stay with their rows.
+    """
+    return simhash.dedup(docs, reach=NEAR_REACH, near_shingle=NEAR_WORDS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
