@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``. Where that is unset, one JVM alone (``local[...]``) may use a folder of its own; a cluster has none that all can read."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -58,6 +61,18 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int = CHUNK_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def text_chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` characters, one text at least."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield at, k + 1
+            at, size = k + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string array without copying the texts; a null is an empty text."""
     array = pc.fill_null(array, "") if array.null_count else array
@@ -84,8 +99,8 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
 def sampled_texts(documents: DataFrame, labels: DataFrame, label: str, train: Column, most: int) -> DataFrame:
     """(doc_id, text, label) of a bounded sample of labelled training rows.
 
-    ``most`` bounds the ids per label value; the id table is broadcast, as that bound holds at any size.
-    A document whose label rows disagree is left out.
+    ``most`` bounds the ids per label value; the id table is broadcast, as that bound holds at any size. Of an id
+    with several texts the one of least hash is taken, so the bound holds for rows. A document whose label rows disagree is left out.
     """
     ids = (
         labels.where(train & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -95,7 +110,9 @@ def sampled_texts(documents: DataFrame, labels: DataFrame, label: str, train: Co
         .select("doc_id", "_y")
     )
     both = bounded_sample(ids.where("_y = 0"), "doc_id", most).unionByName(bounded_sample(ids.where("_y = 1"), "doc_id", most))
-    return documents.select("doc_id", "text").join(F.broadcast(both), "doc_id").select("doc_id", "text", F.col("_y").cast("int").alias("y"))
+    rows = documents.select("doc_id", "text").join(F.broadcast(both), "doc_id")
+    one = rows.groupBy("doc_id", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("doc_id", "t.text", F.col("_y").cast("int").alias("y"))
 
 
 def share_of(labels: DataFrame, label: str, train: Column) -> float:

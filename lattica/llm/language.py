@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import bounded_sample, chunks
+from lattica.llm.common import bounded_sample, chunks, text_chunks
 
 GRAMS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -28,7 +28,6 @@ SAMPLE = 20_000
 EVIDENCE = 100
 SMOOTHING = 0.5
 UNKNOWN = "und"
-_BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -68,18 +67,6 @@ def gram_buckets(codes: np.ndarray, n: int) -> np.ndarray:
     return np.where(any_letter, bucket, 0).astype(np.int32)
 
 
-def text_chunks(texts: list[str | None], most: int = _BLOCK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters, one text at least."""
-    at = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield at, k + 1
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def fit(documents: DataFrame, train: Column, sample: int = SAMPLE) -> LanguageModel:
     """Learn from text and lang of rows for which ``train`` holds and lang is not null.
 

@@ -1,6 +1,6 @@
 """Operator 1, quality classifier: compression with dictionaries of good and of bad text.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled rows. A text is compressed
+Two zstandard dictionaries of one size are trained on a bounded sample of labelled rows, from as many bytes of good as of bad text. A text is compressed
 whole with each; what the good dictionary saves over the bad one, per byte and relative to the
 size, is turned into a probability by a logistic calibration fitted on other labelled rows.
 
@@ -24,6 +24,8 @@ from lattica.llm.common import chunks, crc_mod, sampled_texts, share_of
 
 LEVEL = 3
 DICTIONARY_BYTES = 112_640
+#: The trainer gets so many times a dictionary's bytes at least; with little text the dictionaries are smaller.
+SUPPLY, SMALLEST = 8, 256
 #: Bound of the training sample: documents for each label value, and bytes taken of each for a dictionary.
 SAMPLE = 4_000
 EXCERPT = 2_048
@@ -46,14 +48,22 @@ def excerpt(text: bytes, size: int = EXCERPT) -> bytes:
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """zstandard's trained dictionary, or the samples themselves where they are too few for the trainer."""
+    """zstandard's trained dictionary, smaller where the samples are few; the samples themselves if the trainer takes them at no size."""
     samples = [s for s in samples if s]
-    if sum(map(len, samples)) > 10 * size:
+    size = min(size, sum(map(len, samples)) // SUPPLY)
+    while size >= SMALLEST:
         try:
             return zstandard.train_dictionary(size, samples).as_bytes()
-        except zstandard.ZstdError:
-            pass  # the trainer refuses samples that are too alike
-    return b"\n".join(samples)[-size:]
+        except zstandard.ZstdError:  # too few samples, or too alike
+            size //= 2
+    return b"\n".join(samples)
+
+
+def equal_shares(good: list[bytes], bad: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """The first samples of each side up to the bytes of the side that has fewer."""
+    share = min(sum(map(len, good)), sum(map(len, bad)))
+    most = lambda samples: [s for s, before in zip(samples, np.cumsum([0, *map(len, samples)]), strict=False) if before < share]
+    return (most(good), most(bad)) if share else (good, bad)
 
 
 class Scorer:
@@ -109,7 +119,9 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column, sample: int = SA
 
     pieces = rows.where(half == 0).select("y", "text").mapInArrow(cut_out, "y int, piece binary").collect()
     pieces.sort(key=lambda r: (zlib.crc32(r["piece"]), r["piece"]))
-    good, bad = (train_dictionary([bytes(r["piece"]) for r in pieces if r["y"] == k]) for k in (1, 0))
+    samples = equal_shares(*([bytes(r["piece"]) for r in pieces if r["y"] == k] for k in (1, 0)))
+    size = min(DICTIONARY_BYTES, *(sum(map(len, x)) // SUPPLY for x in samples))
+    good, bad = (train_dictionary(x, size) if all(samples) else b"" for x in samples)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(good, bad)
