@@ -197,14 +197,11 @@ def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, tuple[Tre
 
 def isotonic(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: the non-decreasing fit of y, as steps (upper margin, value)."""
-    order = np.argsort(margin, kind="stable")
-    blocks: list[list[float]] = []  # value, weight, highest margin
-    for m, v, k in zip(margin[order], y[order], w[order], strict=True):
-        if blocks and blocks[-1][2] == m:
-            b = blocks[-1]
-            b[0], b[1] = (b[0] * b[1] + v * k) / (b[1] + k), b[1] + k
-        else:
-            blocks.append([float(v), float(k), float(m)])
+    at, which = np.unique(margin, return_inverse=True)
+    weight = np.bincount(which, w, len(at))
+    blocks: list[list[float]] = []  # value, weight, highest margin; equal margins are one from the start
+    for m, v, k in zip(at, np.bincount(which, w * y, len(at)) / weight, weight, strict=True):
+        blocks.append([float(v), float(k), float(m)])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             v2, k2, m2 = blocks.pop()
             b = blocks[-1]
