@@ -22,7 +22,11 @@ NEAR_WORDS, NEAR_REACH = 2, 9
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an identified language."""
+    """Documents with an identified language.
+
+    Null texts and those without a letter have none and go, whatever their other columns hold; rows that repeat stay or go together; a null lang or doc_id is not
+    learned from; of equal scores the first language in order is taken; extra columns stay with their rows.
+    """
     model = language.fit(docs, crc_mod(F.col("doc_id"), 5) != 0)
     lang, score = (fresh(docs.columns, n) for n in ("lang_pred", "lang_score"))
     judged = language.identify(docs, model, tuple(docs.columns), (lang, score))
@@ -30,7 +34,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later repeats of runs of lines."""
+    """All documents, without later repeats of runs of lines.
+
+    Null stays null and empty stays empty; a text of which all goes becomes empty, its row stays; rows without doc_id come before all others, and rows of one id and
+    text are one document; n_chars follows the text where lines went; extra columns stay with their rows.
+    """
     gone = fresh(docs.columns, "n_removed")
     out = lines.dedup(docs, count_column=gone, whole_runs=True)
     n_chars = F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
@@ -46,15 +54,18 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark: rows are told by id and text, as ids may be null or repeat."""
-    row = fresh(docs.columns, "_row")
-    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    hits = decontaminate.contaminated(marked, table(spark, sf_dir, "benchmark"), id_column=row).select(row).distinct()
-    return marked.join(hits, row, "left_anti").select(*docs.columns)
+    """Documents that hold no passage of the benchmark, each row judged by its own text: ids may be null or repeat.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together; extra columns, whatever their names, stay with their rows.
+    """
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences."""
+    """Pieces of the documents with their places in sequences.
+
+    A null text is an empty one, of one token; repeated rows are packed each; extra columns are not read.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -6,7 +6,8 @@ document and item are laid on each other at the hit's offset and the stretch wit
 A document is contaminated if a window of ``window`` tokens (the whole item, if it is shorter) agrees in a share
 ``similarity`` of places.
 
-The benchmark's hashes are broadcast while they are fewer than BROADCAST; beyond that both sides are joined by hash.
+The benchmark's hashes are broadcast while its words, counted as they are matched, make fewer than BROADCAST; beyond that both sides are joined by
+hash, and tokens around the hits are laid on each other. Any window that agrees enough holds a hit, so both ways find the same.
 
 Defined results: items and documents of null text have no words and match nothing, nor does an item of fewer than
 MIN_ITEM words; a document row matches an item once, in its best place, the first of several; rows that repeat are matched each;
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import chunks
+from lattica.llm.common import chunks, cut, fresh
 from lattica.llm.words import mix, words
 
 #: Fixed masks: 1 looks at the token, 0 ignores it. With any 2 of 13 tokens substituted, one of the two masks still hits
@@ -118,6 +119,49 @@ def verify(found, doc, tokens, window: int, similarity: float) -> list[tuple[int
     return [(r, k, start, size, agree) for (r, k), (agree, start, size) in best.items()]
 
 
+def n_words(benchmark: DataFrame) -> int:
+    """The number of words of all items, as they are matched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, 256):
+            yield pa.RecordBatch.from_arrays([pa.array([len(words(b.column("text"))[0])], pa.int64())], ["n"])
+
+    return benchmark.select("text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def index_of(benchmark: DataFrame, item_column: str, window: int, similarity: float) -> Index:
+    """The index of a benchmark whose size has been checked."""
+    rows = benchmark.select(item_column, "text").collect()
+    row, h = words(pa.array([r[1] for r in rows], pa.string()))
+    edge = np.searchsorted(row, np.arange(len(rows) + 1))
+    return Index([(r[0], h[edge[k] : edge[k + 1]]) for k, r in enumerate(rows)], window, similarity)
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, broadcast: int = BROADCAST) -> DataFrame:
+    """The rows of ``documents`` that hold no item, as they are; with a broadcast benchmark no row is moved."""
+    if n_words(benchmark) * len(SHORT_MASKS) > broadcast:
+        row = fresh(documents.columns, "_row")
+        marked = documents.withColumn(row, row_key("doc_id"))
+        items = benchmark.select(F.monotonically_increasing_id().alias("item_id"), "text")
+        hits = contaminated(marked, items, row, "item_id", window, similarity, broadcast).select(row).distinct()
+        return marked.join(hits, row, "left_anti").select(*documents.columns)
+    items = benchmark.select(F.lit(0).alias("item"), "text")
+    shared = documents.sparkSession.sparkContext.broadcast(index_of(items, "item", window, similarity))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, 256):
+            keep = np.ones(b.num_rows, bool)
+            keep[[x[0] for x in search(b.column("text"), shared.value)]] = False
+            yield b.filter(pa.array(keep))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
+def row_key(column: str) -> Column:
+    """128 bits that tell rows by id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit("\u0000"), F.coalesce("text", F.lit("")))))
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", item_column: str = "item_id", window: int = WINDOW, similarity: float = SIMILARITY, broadcast: int = BROADCAST) -> DataFrame:
     """(id, item, start, length, agreeing): a row for each document row and item that it holds; clean documents have none.
 
@@ -128,15 +172,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_column: str = "d
     schema = f"`{id_column}` {kind.simpleString()}, `{item_column}` {item_kind.simpleString()}, start int, length int, agreeing int"
     names = [id_column, item_column, "start", "length", "agreeing"]
 
-    def items(rows) -> list[tuple[object, np.ndarray]]:
-        row, h = words(pa.array([r[1] for r in rows], pa.string()))
-        edge = np.searchsorted(row, np.arange(len(rows) + 1))
-        return [(r[0], h[edge[k] : edge[k + 1]]) for k, r in enumerate(rows)]
-
-    size = benchmark.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
-    if size * len(SHORT_MASKS) > broadcast:
+    if n_words(benchmark) * len(SHORT_MASKS) > broadcast:
         return _joined(documents, benchmark, id_column, item_column, window, similarity, schema)
-    shared = spark.sparkContext.broadcast(Index(items(benchmark.select(item_column, "text").collect()), window, similarity))
+    shared = spark.sparkContext.broadcast(index_of(benchmark, item_column, window, similarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -150,42 +188,63 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_column: str = "d
 
 
 def _joined(documents: DataFrame, benchmark: DataFrame, id_column: str, item_column: str, window: int, similarity: float, schema: str) -> DataFrame:
-    """The same by an equi-join on seed hashes, for benchmarks of any size; only candidates' texts travel."""
+    """The same by an equi-join on seed hashes, for benchmarks of any size; a text with hits travels once, and then the tokens around each hit."""
+    widest = max(len(m) for m, _ in FAMILIES)
 
-    def seeds(batches: Iterator[pa.RecordBatch], items: bool) -> Iterator[pa.RecordBatch]:
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, 256):
             row, h = words(b.column("text"))
             begin = np.searchsorted(row, np.arange(b.num_rows + 1))
-            size = np.diff(begin)
-            for m, short in FAMILIES:
+            for m, _ in FAMILIES:
                 at, s = seed_hashes(h, row, m)
-                if items:
-                    own = (size[row[at]] >= MIN_ITEM) & ((size[row[at]] < window) == short)
-                    at, s = at[own], s[own]
                 r = row[at]
                 yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(r)), pa.array((at - begin[r]).astype(np.int32)), pa.array(s.view(np.int64))], ["key", "place", "seed"])
 
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tokens of a window before a hit to a window after it, and the text's number of tokens."""
+        for b in chunks(batches, 64):
+            row, h = words(b.column("text"))
+            begin = np.searchsorted(row, np.arange(b.num_rows + 1))
+            out: list[tuple] = []
+            for k, places in enumerate(b.column("places").to_pylist()):
+                own = h[begin[k] : begin[k + 1]]
+                out += [(k, p, max(0, p - window + 1), len(own), own[max(0, p - window + 1) : p + widest + window - 1].tobytes()) for p in places]
+            own = pa.array([x[0] for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("key").take(own), *(pa.array([x[c] for x in out], pa.int32()) for c in (1, 2, 3)), pa.array([x[4] for x in out], pa.binary())], ["key", "place", "first", "size", "tokens"])
+
     # A row's identity: rows of the same id and text are one here and get the same result.
-    key = lambda c: F.xxhash64(F.col(c), F.col("text"))
-    docs = documents.select(id_column, "text").withColumn("key", key(id_column))
-    tests = benchmark.select(item_column, "text").withColumn("key", key(item_column))
-    d = docs.select("key", "text").distinct().mapInArrow(lambda it: seeds(it, False), "key long, place int, seed long")
-    t = tests.select("key", "text").distinct().mapInArrow(lambda it: seeds(it, False), "key long, place int, seed long")
-    t = t.select(F.col("key").alias("item_key"), F.col("place").alias("item_place"), "seed").distinct()
-    pairs = d.join(t, "seed").select("key", "item_key", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
-    rich = pairs.join(docs, "key").join(tests.select(F.col("key").alias("item_key"), item_column, F.col("text").alias("item_text")), "item_key")
+    docs = documents.select(F.col(id_column).alias("id"), "text", row_key(id_column).alias("key"))
+    tests = benchmark.select(F.col(item_column).alias("id"), "text", row_key(item_column).alias("key"))
+    found = {}
+    for side, rows in (("d", docs), ("t", tests)):
+        found[side] = rows.select("key", "text").mapInArrow(seeds, "key binary, place int, seed long").toDF(f"{side}_key", f"{side}_place", "seed")
+    hits = cut(found["d"].join(found["t"].distinct(), "seed").select("d_key", "d_place", "t_key", "t_place").distinct())
+    near = hits
+    for side, rows in (("d", docs), ("t", tests)):
+        places = hits.groupBy(F.col(f"{side}_key").alias("key")).agg(F.collect_set(f"{side}_place").alias("places"))  # as many as a text has at most
+        texts = rows.select("key", "text").join(places.select("key"), "key", "left_semi").dropDuplicates(["key"])
+        cuts = texts.join(places, "key").mapInArrow(around, "key binary, place int, first int, size int, tokens binary")
+        near = near.join(cuts.toDF(*(f"{side}_{c}" for c in cuts.columns)), [f"{side}_key", f"{side}_place"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, 256):
-            (drow, dh), (trow, th) = words(b.column("text")), words(b.column("item_text"))
-            de, te = (np.searchsorted(r, np.arange(b.num_rows + 1)) for r in (drow, trow))
-            shift = b.column("shift").to_pylist()
-            tokens = [th[te[k] : te[k + 1]] for k in range(b.num_rows)]
-            hits = sorted(verify([(k, k, s) for k, s in enumerate(shift)], lambda r, dh=dh, de=de: dh[de[r] : de[r + 1]], tokens, window, similarity))
-            at = pa.array([x[0] for x in hits], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(id_column).take(at), b.column(item_column).take(at), *(pa.array([x[k] for x in hits], pa.int32()) for k in (2, 3, 4)), b.column("key").take(at), b.column("item_key").take(at)], [id_column, item_column, "start", "length", "agreeing", "key", "item_key"])
-
-    hits = rich.mapInArrow(check, f"{schema}, key long, item_key long")
-    best = hits.groupBy("key", "item_key").agg(F.max(F.struct("agreeing", -F.col("start"), "length")).alias("b"), F.first(item_column, ignorenulls=True).alias(item_column))
-    out = docs.select("key", id_column).join(best, "key")
+        for b in chunks(batches, 4096):
+            at, start, length, agreeing = [], [], [], []
+            columns = [b.column(c).to_pylist() for c in ("d_place", "d_first", "d_tokens", "t_place", "t_first", "t_tokens", "t_size")]
+            for k, (dp, df, dt, tp, tf, tt, size) in enumerate(zip(*columns, strict=True)):
+                if size < MIN_ITEM:
+                    continue
+                doc, item = np.frombuffer(dt, np.uint64), np.frombuffer(tt, np.uint64)
+                agree, s, n = best_overlap(doc, item, (dp - df) - (tp - tf), min(window, size))
+                if len(item) >= n and agree >= similarity * n:
+                    at.append(k)
+                    start.append(s + df)
+                    length.append(n)
+                    agreeing.append(agree)
+            own = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("d_key").take(own), b.column("t_key").take(own), *(pa.array(x, pa.int32()) for x in (start, length, agreeing))], ["d_key", "t_key", "start", "length", "agreeing"])
+
+    best = near.mapInArrow(check, "d_key binary, t_key binary, start int, length int, agreeing int")
+    best = best.groupBy("d_key", "t_key").agg(F.max(F.struct("agreeing", -F.col("start"), "length")).alias("b"))
+    items = tests.select(F.col("key").alias("t_key"), F.col("id").alias(item_column)).distinct()
+    out = docs.select(F.col("key").alias("d_key"), F.col("id").alias(id_column)).join(best, "d_key").join(items, "t_key")
     return out.select(id_column, item_column, (-F.col("b")["col2"]).cast("int").alias("start"), F.col("b.length").alias("length"), F.col("b.agreeing").alias("agreeing"))

@@ -162,3 +162,41 @@ def test_pipeline_deletes_the_end_of_a_run(spark, sizes):
     docs = spark.createDataFrame([(d, f"own {d}\n{passage}\nlast {d}", 0) for d in range(3)], "doc_id long, text string, n_chars long")
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert out[1] == "own 1\nlast 1" and out[2] == "own 2\nlast 2" and passage in out[0]
+
+
+# -- decontamination of other scripts, and without moving rows ----------------------------------------------------
+
+
+def test_words_of_any_script_are_counted(spark):
+    items = spark.createDataFrame([(1, "слово " * 200), (2, "甲 乙 丙"), (3, None), (4, "plain words here")], "item_id long, text string")
+    assert decontaminate.n_words(items) == 206
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST, 0])
+def test_both_ways_find_the_same_places(spark, limit):
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{k}" for k in range(12)]  # few words: many hits, ties and diagonals
+    items = [(k, " ".join(rng.choice(vocabulary, n))) for k, n in enumerate([5, 7, 12, 13, 14, 30, 60, 4])]
+    docs = [(k, " ".join(rng.choice(vocabulary, rng.integers(0, 120)))) for k in range(60)] + [(100 + k, f"x {t} y {t}") for k, t in items] + [(None, items[5][1]), (None, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.contaminated(df, bench, broadcast=limit).collect()}
+    want = set()
+    for d, x in docs:
+        for i, t in items:
+            w, v = (x or "").split(), t.split()
+            size = min(13, len(v))
+            places = [(-sum(a == b for a, b in zip(w[p : p + size], v[q : q + size], strict=True)), p) for p in range(len(w) - size + 1) for q in range(len(v) - size + 1)]
+            if len(v) >= 5 and places and -min(places)[0] >= 0.8 * size:
+                want.add((d, i, min(places)[1], size, -min(places)[0]))
+    assert got == want
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST, 0])
+def test_clean_keeps_rows_whole(spark, edge, limit):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = [(None, ITEMS[0][1], "a"), (None, None, "b"), (None, "clean", "c"), (1, f"x {ITEMS[1][1]} y", "d"), (1, "other", "e"), (1, "other", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    assert sorted(r["_row"] for r in decontaminate.clean(df, items, broadcast=limit).collect()) == ["b", "c", "e", "e"]
+    out = decontaminate.clean(edge, items, broadcast=limit)
+    assert out.columns == edge.columns and out.count() == edge.count()
+    assert decontaminate.clean(edge.limit(0), items, broadcast=limit).count() == 0
