@@ -4,7 +4,9 @@ Vectors are scaled to length one, where cosine >= c is a distance <= sqrt(2 - 2c
 pivots part the vectors into cells by the nearest pivot (its home). A vector is also sent, as a guest, to the cell j < home of
 each pivot p_j with d(x, p_j) <= d(x, p_home) + 2r (triangle inequality) and within r of the plane between both
 pivots: a partner at home in j cannot be farther away. So each pair within r meets exactly once,
-in the lower of its two home cells, and cells join independently. Large cells are dealt out as pairs of blocks.
+in the lower of its two home cells, and cells join independently. Large cells are dealt out as pairs of blocks. The number of pivots of a label follows
+its size: of the powers of two up to one for CELL vectors the one is taken that costs least on a sample, in vectors sent and pairs compared, as
+in many dimensions boundaries are wide and more pivots can send more than they save.
 
 Equal vectors of a label are one node with a count. A task returns, for a pair of blocks, link counts and a spanning
 set of edges, so dense groups do not grow into all their pairs.
@@ -28,10 +30,14 @@ from pyspark.sql import functions as F
 from lattica.llm.common import components, cut
 
 COSINE = 0.93
-#: Vectors for each pivot of a label, pivots of a label, and pivots in all: the last bounds what is broadcast.
-CELL, LABEL_PIVOTS, ALL_PIVOTS = 2_000, 64, 20_000
+#: Vectors for each pivot of a label, and pivots in all: the last bounds what is broadcast.
+CELL, ALL_PIVOTS = 2_000, 20_000
+#: Sample vectors of a label on which the number of its pivots is judged, beside those that may become pivots.
+JUDGED = 256
+#: What sending a vector to a task costs, in pairs of vectors that are compared.
+SENDING = 1_000.0
 #: Vectors of a block; a task holds two.
-BLOCK = 2_048
+BLOCK = 8_192
 #: Cosines this close to the limit are computed again, from the vectors as given and with exact sums.
 EDGE = 1e-9
 
@@ -45,21 +51,39 @@ def usable(df: DataFrame) -> DataFrame:
     return df.select("vec_id", "label", v.alias("v")).withColumn("uid", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")))
 
 
-def choose_pivots(nodes: DataFrame) -> dict:
-    """Label to an array of pivots, for labels of more than CELL vectors; ALL_PIVOTS rows at most."""
+def choose_pivots(nodes: DataFrame, r: float) -> dict:
+    """Label to an array of pivots, for labels of more than CELL vectors; ALL_PIVOTS rows at most are pivots, and twice that and JUDGED for each label are looked at."""
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-    sizes = sizes.orderBy(F.desc("n"), "label", "dim").limit(ALL_PIVOTS // 4).collect()  # labels beyond stay one cell, dealt out in blocks
+    sizes = sizes.orderBy(F.desc("n"), "label", "dim").limit(ALL_PIVOTS // 8).collect()  # labels beyond stay one cell, dealt out in blocks
     if not sizes:
         return {}
-    want = {(r["label"], r["dim"]): min(LABEL_PIVOTS, math.ceil(r["n"] / CELL)) for r in sizes}
+    want = {(x["label"], x["dim"]): math.ceil(x["n"] / CELL) for x in sizes}
     shrink = min(1.0, ALL_PIVOTS / sum(want.values()))
-    table = nodes.sparkSession.createDataFrame([(*k, r["n"], max(1, int(v * shrink))) for (k, v), r in zip(want.items(), sizes, strict=True)], nodes.select("label", "dim").schema.simpleString()[7:-1].replace(":", " ") + ", n long, k int")
-    # The hash thins a label to about 4 k candidates, of which the k of smallest hash serve.
-    thinned = nodes.join(F.broadcast(table), ["label", "dim"]).where(F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.lit(4) * F.col("k") / F.col("n"))
+    most = {k: max(1, int(v * shrink)) for k, v in want.items()}
+    drawn = [(*k, x["n"], 2 * most[k] + JUDGED) for k, x in zip(want, sizes, strict=True)]
+    table = nodes.sparkSession.createDataFrame(drawn, nodes.select("label", "dim").schema.simpleString()[7:-1].replace(":", " ") + ", n long, k int")
+    # The hash thins a label to about 2 k vectors, of which the k of smallest hash serve.
+    thinned = nodes.join(F.broadcast(table), ["label", "dim"]).where(F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.lit(2) * F.col("k") / F.col("n"))
     found: dict = {}
-    for r in thinned.select("label", "dim", "k", "uid", "v").collect():
-        found.setdefault((r["label"], r["dim"], r["k"]), []).append((r["uid"], r["v"]))
-    return {(label, dim): _unit(np.array([v for _, v in sorted(x)[:k]])) for (label, dim, k), x in found.items()}
+    for x in thinned.select("label", "dim", "n", "uid", "v").collect():
+        found.setdefault((x["label"], x["dim"], x["n"]), []).append((x["uid"], x["v"]))
+    out = {}
+    for (label, dim, n), rows in found.items():
+        x = _unit(np.array([v for _, v in sorted(rows)[: 2 * most[label, dim] + JUDGED]]))
+        judged, pivots = x[-JUDGED:], x[: most[label, dim]]
+        choices = [1 << k for k in range(len(pivots).bit_length()) if 1 << k <= len(pivots)]
+        out[label, dim] = pivots[: min(choices, key=lambda k: expected_cost(judged, pivots[:k], r, n))]
+    return out
+
+
+def expected_cost(sample: np.ndarray, pivots: np.ndarray, r: float, n: int) -> float:
+    """Pairs that are compared, and vectors that are sent in the price of pairs, if n vectors like the sample are dealt to these pivots."""
+    row, cell, guest = assign(sample, pivots, r)
+    share = n / len(sample)
+    home, visits = (np.bincount(cell[guest == g], minlength=len(pivots)) * share for g in (False, True))
+    blocks, guests = np.ceil(home / BLOCK), np.ceil(visits / BLOCK)
+    sent = home * (blocks + guests) + visits * blocks + (home + visits) * (len(pivots) > 1)
+    return float((home * (home / 2 + visits)).sum() + SENDING * sent.sum())
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -146,8 +170,8 @@ def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     ``nodes`` (uid, label, dim, v, c): distinct vectors of a label with their counts.
     """
-    pivots = nodes.sparkSession.sparkContext.broadcast(choose_pivots(nodes))
     r = math.sqrt(2 - 2 * cosine)
+    pivots = nodes.sparkSession.sparkContext.broadcast(choose_pivots(nodes, r))
     label = nodes.schema["label"].dataType.simpleString()
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

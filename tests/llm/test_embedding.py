@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import embedding
 
@@ -62,3 +63,36 @@ def test_guests_reach_every_pair():
     for i, j in zip(*np.nonzero(x @ x.T >= 0.93), strict=True):
         low = min(home[i], home[j])
         assert (i, low) in at and (j, low) in at
+
+
+@pytest.mark.parametrize(("cell", "block", "spread"), [(30, 2_048, 0.25), (20, 7, 0.25), (10, 50, 0.05)])
+def test_many_pivots_match_brute_force(spark, monkeypatch, cell, block, spread):
+    """With free sending the pivots are as many as may be, so cells, guests and blocks are all in use."""
+    for name, value in (("CELL", cell), ("BLOCK", block), ("SENDING", 0.0), ("JUDGED", 20)):
+        monkeypatch.setattr(embedding, name, value)
+    v = clusters(200, 5, spread)
+    rows = [(k, x.tolist(), k % 2) for k, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    r = np.sqrt(2 - 2 * 0.93)
+    nodes = embedding.usable(df.withColumn("cell", df["label"])).selectExpr("uid", "label", "v", "size(v) as dim")
+    assert max(len(p) for p in embedding.choose_pivots(nodes, r).values()) >= 4
+    got = embedding.near_duplicates(df).collect()
+    assert sorted(((x["vec_id"], x["n_links"], x["component_id"]) for x in got), key=str) == brute([(i, [float(np.float32(y)) for y in x], lab) for i, x, lab in rows])
+
+
+def test_pivots_are_as_many_as_pay():
+    rng = np.random.default_rng(3)
+    r = np.sqrt(2 - 2 * 0.93)
+    apart = embedding._unit(np.repeat(np.eye(32)[:16], 40, 0) + 0.02 * rng.normal(size=(640, 32)))
+    rng.shuffle(apart)
+    flat = embedding._unit(rng.normal(size=(640, 32)))
+    cost = lambda x, k, n: embedding.expected_cost(x[-256:], x[:k], r, n)
+    assert cost(apart, 64, 10**7) < 0.5 * cost(apart, 1, 10**7)  # well parted vectors: cells are small and have few guests
+    assert cost(flat, 64, 10**5) > cost(flat, 1, 10**5)  # wide boundaries: guests cost more than they save
+
+
+def test_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 0, "x"), (2, [1.0, 0.01], 0, "y"), (3, [0.0, 1.0], 0, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, uid string").withColumn("v", F.lit(1)).withColumn("cell", F.lit("c")).withColumn("dim", F.lit(3)).withColumn("component_id", F.lit(9))
+    got = sorted(tuple(r) for r in embedding.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
