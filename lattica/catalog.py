@@ -52,14 +52,31 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def emb(r0: int, nr: int, c0: int, nc: int) -> Input:
-    """Rows r0.. and columns c0.. of the embeddings: the row filter reaches the Parquet scan."""
+    """An nr x nc matrix of all elements of the embeddings: element (i, j) is a weighted sum of the rows and columns that fall on it, over the root of their number.
+
+    Rows fall on (vec_id + r0) modulo nr, columns on (c + c0) modulo nc, and the weights follow from r0 and c0 too, so different ones make different matrices.
+    The sums are combined in the tasks that read the table.
+    """
+    row, column = f"(vec_id + {r0}) % {nr}", f"(c + {c0}) % {nc}"
+    weight = f"(12 + (3 * vec_id + {r0}) % 13) * (10 + (7 * c + {c0}) % 11)"  # from 120 to 480
 
     def build(spark: SparkSession, d: str) -> Matrix:
-        df = read(spark, d, "embeddings").where((F.col("vec_id") >= r0) & (F.col("vec_id") < r0 + nr))
-        df = df.select((F.col("vec_id") - r0).alias("k"), F.slice("embedding", c0 + 1, nc).alias("a"))
-        return Matrix.from_rows(df, "k", "a", nc, nr)
+        e = read(spark, d, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("c", "x"))
+        e = e.groupBy(F.expr(row).alias("i"), F.expr(column).alias("j")).agg((F.sum(F.expr(f"{weight} * x")) / (480 * F.sqrt(F.count("*")))).alias("v"))
+        return Matrix.from_entries(e, nr, nc)
+
+    terms = "SELECT vec_id, u.c, embedding[u.c + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(64)) AS c) u"
+    return Input(build, f"(SELECT {row} AS i, {column} AS j, sum({weight} * x) / (480 * sqrt(count(*))) AS v FROM ({terms}) GROUP BY ALL)")
+
+
+def folded(n: int) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    """(rows as cells ``a`` of n numbers, SQL): all embeddings, column c added to column c modulo n."""
+
+    def rows(spark: SparkSession, d: str) -> DataFrame:
+        cells = [sum((F.col("embedding")[c].cast("double") for c in range(j + n, 64, n)), F.col("embedding")[j].cast("double")) for j in range(n)]
+        return read(spark, d, "embeddings").select("vec_id", F.array(*cells).alias("a"))
 
-    return Input(build, f"(SELECT vec_id - {r0} AS i, u.c - {c0} AS j, embedding[u.c + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range({c0}, {c0 + nc})) AS c) u WHERE vec_id >= {r0} AND vec_id < {r0 + nr})")
+    return rows, f"(SELECT i, j % {n} AS j, sum(v) AS v FROM {E.sql} GROUP BY ALL)"
 
 
 def eye(n: int) -> Input:
@@ -317,13 +334,16 @@ def turned(r: Matrix) -> Matrix:
 
 matrix("geqr2_r", lambda s, d: turned(qr.geqr2(A86(s, d))[0].slice((0, 8), (0, 8)).tri("U")), R86)
 matrix("geqrt_r", lambda s, d: turned(qr.geqrt(A86(s, d), 3).r), R86)
-matrix("qr_r_emb8", lambda s, d: qr.tall_r(read(s, d, "embeddings").select(F.slice("embedding", 1, 8).alias("a")), "a", 8), S.cholesky(S.mm("(SELECT j AS i, i AS j, v FROM " + E.sql + " WHERE j < 8)", S.where(E.sql, "j < 8")), 8))
+rows8, E8 = folded(8)
+matrix("qr_r_emb8", lambda s, d: qr.tall_r(rows8(s, d), "a", 8), S.cholesky(S.mm(S.t(E8), E8), 8))
 SCALED = ("l_quantity / 50", "l_extendedprice / 100000", "l_discount * 10", "l_tax * 10")
 _line = "(" + " UNION ALL ".join(f"SELECT row_number() OVER () AS i, {j} AS j, {c} AS v FROM lineitem" for j, c in enumerate(SCALED)) + ")"
 _line_gram = "(" + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, sum(({a}) * ({b})) AS v FROM lineitem" for i, a in enumerate(SCALED) for j, b in enumerate(SCALED)) + ")"
 matrix("qr_r_lineitem", lambda s, d: qr.tall_r(read(s, d, "lineitem").select(F.array(*(F.expr(c) for c in SCALED)).alias("a")), "a", 4), S.cholesky(_line_gram, 4))
 _thin = S.solve("R", "U", False, False, R86, A86.sql, 8, 40)
-matrix("qr_q_thin", lambda s, d: qr.tall_q(read(s, d, "embeddings").where("vec_id < 40").select("vec_id", F.slice("embedding", 1, 8).alias("a")), "vec_id", "a", 8)[0], _thin)
+# Rows of Q are rows of A times the inverse of R, and R's inverse solves R X = I.
+_inverse = S.solve("L", "U", False, False, S.cholesky(S.mm(S.t(E8), E8), 8), S.eye(8), 8, 8)
+matrix("qr_q_thin", lambda s, d: qr.tall_q(rows8(s, d), "vec_id", "a", 8)[0], S.mm(E8, _inverse))
 matrix("qr_q_orthogonality", lambda s, d: (lambda q: gemm.gemm("T", "N", 1, q, q))(qr.geqrt(A86(s, d), 3).q()), S.eye(8))
 B405, B540 = emb(100, 40, 0, 5), emb(200, 5, 0, 40)
 matrix("unmqr_l_c", lambda s, d: (lambda f: turned_rows(qr.unmqr("L", "C", f, B405(s, d)).slice((0, 8), (0, 5)), f.r))(qr.geqrt(A86(s, d), 3)), S.mm(S.t(_thin), B405.sql))
