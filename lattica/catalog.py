@@ -52,6 +52,17 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def emb(r0: int, nr: int, c0: int, nc: int) -> Input:
+    """A slice: rows r0.. and columns c0.. of the embeddings; the row filter reaches the Parquet scan."""
+
+    def build(spark: SparkSession, d: str) -> Matrix:
+        df = read(spark, d, "embeddings").where((F.col("vec_id") >= r0) & (F.col("vec_id") < r0 + nr))
+        df = df.select((F.col("vec_id") - r0).alias("k"), F.slice("embedding", c0 + 1, nc).alias("a"))
+        return Matrix.from_rows(df, "k", "a", nc, nr)
+
+    return Input(build, S.part(E.sql, r0, r0 + nr, c0, c0 + nc))
+
+
+def fold(r0: int, nr: int, c0: int, nc: int) -> Input:
     """An nr x nc matrix of all elements of the embeddings: element (i, j) is a weighted sum of the rows and columns that fall on it, over the root of their number.
 
     Rows fall on (vec_id + r0) modulo nr, columns on (c + c0) modulo nc, and the weights follow from r0 and c0 too, so different ones make different matrices.
@@ -90,10 +101,10 @@ def _whole(spark: SparkSession, d: str) -> Matrix:
 
 E = Input(_whole, "(SELECT vec_id AS i, u.c AS j, embedding[u.c + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(64)) AS c) u)")
 #: Well-conditioned squares of order 8, and one whose pivots must be searched for.
-S8 = emb(0, 64, 0, 8).T @ emb(0, 64, 0, 8) + eye(8)
-N8 = emb(0, 8, 0, 8) + eye(8).scaled(2)
+S8 = fold(0, 64, 0, 8).T @ fold(0, 64, 0, 8) + eye(8)
+N8 = fold(0, 8, 0, 8) + eye(8).scaled(2)
 P8 = Input(lambda s, d: N8(s, d).permute(s.range(8).select(F.col("id").alias("k"), (7 - F.col("id")).alias("src"))), S.flip(N8.sql, 8, True, False))
-B85, B58 = emb(10, 8, 0, 5), emb(20, 5, 0, 8)
+B85, B58 = fold(10, 8, 0, 5), fold(20, 5, 0, 8)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,13 +127,14 @@ register("getindex", lambda s, d: s.createDataFrame([("pair", round(S8(s, d)[2,
 matrix("setindex", lambda s, d: N8(s, d).with_element((1, 2), 7.5).with_element(3 + 8 * 4, -1.25), f"(SELECT i, j, CASE WHEN i = 1 AND j = 2 THEN 7.5 WHEN i = 3 AND j = 4 THEN -1.25 ELSE v END AS v FROM {N8.sql} UNION ALL SELECT * FROM (VALUES (1, 2, 7.5::DOUBLE), (3, 4, -1.25::DOUBLE)) x(i, j, v) WHERE NOT EXISTS (SELECT 1 FROM {N8.sql} n WHERE n.i = x.i AND n.j = x.j))")
 register("lamch", lambda s, d: s.createDataFrame([(f"{t}{w}", float(np.round(np.log2(lamch(t, w)), 6))) for t in ("float32", "float64") for w in "ESP"], "what string, log2 double"), "SELECT * FROM (VALUES ('float32E', -24.0::DOUBLE), ('float32S', -126.0), ('float32P', -23.0), ('float64E', -53.0), ('float64S', -1022.0), ('float64P', -52.0)) x(what, log2)")
 for u, unit in product("LU", (False, True)):
-    a = emb(0, 8, 0, 6)
+    a = fold(0, 8, 0, 6)
     matrix(f"trapezoid_{u.lower()}{'_unit' if unit else ''}", lambda s, d, u=u, unit=unit, a=a: triangular.trapezoid(u, a(s, d), "U" if unit else "N"), S.tri(a.sql, u, unit, 6))
-_gap = Input(lambda s, d: emb(0, 6, 0, 6)(s, d).where((F.col("i") < 4) & (F.col("j") < 3)), S.where(emb(0, 6, 0, 6).sql, "i < 4 AND j < 3"))
+_gap = Input(lambda s, d: fold(0, 6, 0, 6)(s, d).where((F.col("i") < 4) & (F.col("j") < 3)), S.where(fold(0, 6, 0, 6).sql, "i < 4 AND j < 3"))
 register("last_nonzero_row", lambda s, d: _gap(s, d).last_nonzero_row(), f"SELECT coalesce(max(i) + 1, 0)::INT AS last FROM {_gap.sql} WHERE v <> 0")
 register("last_nonzero_column", lambda s, d: _gap(s, d).last_nonzero_column(), f"SELECT coalesce(max(j) + 1, 0)::INT AS last FROM {_gap.sql} WHERE v <> 0")
 matrix("transpose", lambda s, d: E(s, d).T, S.t(E.sql))
 matrix("slice_block", lambda s, d: E(s, d).slice((10, 42), (8, 24)), S.part(E.sql, 10, 42, 8, 24))
+matrix("slice_pushed", emb(10, 32, 8, 16), emb(10, 32, 8, 16).sql)
 matrix("strided", lambda s, d: E(s, d).strided(7), f"(SELECT i // 7 AS i, j, v FROM {E.sql} WHERE i % 7 = 0)")
 for name, method, sql in (("fro_norm", Matrix.fro_norm, f"sqrt(sum(v * v)) FROM {E.sql}"), ("one_norm", Matrix.one_norm, f"max(x) FROM (SELECT sum(abs(v)) AS x FROM {E.sql} GROUP BY j)"), ("inf_norm", Matrix.inf_norm, f"max(x) FROM (SELECT sum(abs(v)) AS x FROM {E.sql} GROUP BY i)")):
     select, _, rest = sql.partition(" FROM ")
@@ -142,9 +154,9 @@ def _part(column: str) -> Input:
 x_part, y_part = _part("p_size"), _part("p_retailprice")
 matrix("axpy", lambda s, d: vector.axpy(0.7, x_part(s, d), y_part(s, d)), S.add((0.7, x_part.sql), (1, y_part.sql)))
 register("dot", lambda s, d: vector.dot(x_part(s, d), y_part(s, d)).df.select(F.round("v", 2).alias("v")), "SELECT round(sum(p_size::DOUBLE * p_retailprice), 2) AS v FROM part")
-matrix("gemv_n", lambda s, d: vector.gemv("N", 1.5, E(s, d), emb(3, 1, 0, 64)(s, d).T, 0.5, E(s, d).slice((0, E(s, d).m), (1, 2))), S.add((1.5, S.mm(E.sql, emb(3, 1, 0, 64).T.sql)), (0.5, f"(SELECT i, 0 AS j, v FROM {E.sql} WHERE j = 1)")))
+matrix("gemv_n", lambda s, d: vector.gemv("N", 1.5, E(s, d), fold(3, 1, 0, 64)(s, d).T, 0.5, E(s, d).slice((0, E(s, d).m), (1, 2))), S.add((1.5, S.mm(E.sql, fold(3, 1, 0, 64).T.sql)), (0.5, f"(SELECT i, 0 AS j, v FROM {E.sql} WHERE j = 1)")))
 matrix("gemv_t", lambda s, d: vector.gemv("T", 1, E(s, d), E(s, d).slice((0, E(s, d).m), (0, 1))), S.mm(E.T.sql, f"(SELECT i, 0 AS j, v FROM {E.sql} WHERE j = 0)"))
-x8, y5 = emb(1, 1, 0, 8).T, emb(2, 1, 0, 5).T
+x8, y5 = fold(1, 1, 0, 8).T, fold(2, 1, 0, 5).T
 matrix("ger", lambda s, d: vector.geru(0.7, x8(s, d), y5(s, d), B85(s, d)), S.add((1, B85.sql), (0.7, S.mm(x8.sql, y5.T.sql))))
 
 
@@ -179,7 +191,7 @@ def cadd(alpha: complex, a: tuple[str, str], b: tuple[str, str]) -> tuple[str, s
 
 
 def cpair(r0: int, nr: int, nc: int) -> tuple[Build, tuple[str, str]]:
-    re, im = emb(r0, nr, 0, nc), emb(r0, nr, 32, nc)
+    re, im = fold(r0, nr, 0, nc), fold(r0, nr, 32, nc)
     return complexed(re, im), (re.sql, im.sql)
 
 
@@ -200,7 +212,7 @@ for u in "UL":
 
 # -- products -----------------------------------------------------------------------------------------------------
 
-W1, W2, W3 = emb(0, 40, 0, 24), emb(50, 24, 0, 30), emb(100, 40, 0, 30)
+W1, W2, W3 = fold(0, 40, 0, 24), fold(50, 24, 0, 30), fold(100, 40, 0, 30)
 for ta, tb in product("NT", "NT"):
     p, q = (W1 if ta == "N" else W1.T), (W2 if tb == "N" else W2.T)
     matrix(f"gemm_{ta}{tb}".lower(), lambda s, d, p=p, q=q, ta=ta, tb=tb: gemm.gemm(ta, tb, 2.0, p(s, d), q(s, d), 0.5, W3(s, d)), S.add((2.0, S.mm(W1.sql, W2.sql)), (0.5, W3.sql)))
@@ -221,7 +233,7 @@ matrix("gram_emb_join", lambda s, d: gemm.gemm("T", "N", 1, E(s, d), E(s, d)), S
 for u in "UL":
     cond = "j >= i" if u == "U" else "j <= i"
     matrix(f"syrk_{u.lower()}", lambda s, d, u=u: gemm.syrk(u, "T", 1.5, E(s, d), 0.5, S64(s, d)), S.where(S.add((2.0, S.mm(E.T.sql, E.sql)), (0.5, S.eye(64))), cond))
-    matrix(f"syr2k_{u.lower()}", lambda s, d, u=u: gemm.syr2k(u, "N", 1.5, W1(s, d), emb(200, 40, 0, 24)(s, d)), S.where(S.add((1.5, S.mm(W1.sql, emb(200, 40, 0, 24).T.sql)), (1.5, S.mm(emb(200, 40, 0, 24).sql, W1.T.sql))), cond))
+    matrix(f"syr2k_{u.lower()}", lambda s, d, u=u: gemm.syr2k(u, "N", 1.5, W1(s, d), fold(200, 40, 0, 24)(s, d)), S.where(S.add((1.5, S.mm(W1.sql, fold(200, 40, 0, 24).T.sql)), (1.5, S.mm(fold(200, 40, 0, 24).sql, W1.T.sql))), cond))
 S64 = E.T @ E + eye(64)
 
 MONEY = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -293,7 +305,7 @@ h8 = S.add((1, S.eye(8)), (-0.6, S.mm(x8.sql, x8.T.sql)))
 matrix("larf_l", lambda s, d: reflectors.larf("L", x8(s, d), 0.6, B85(s, d)), S.mm(h8, B85.sql))
 matrix("larf_r", lambda s, d: reflectors.larf("R", x8(s, d), 0.6, B58(s, d)), S.mm(B58.sql, h8))
 TAU = (0.5, 1.25, 0.75)
-V83 = emb(30, 8, 0, 3)
+V83 = fold(30, 8, 0, 3)
 U3 = S8.tri("U")
 T3 = Input(lambda s, d: S8(s, d).slice((0, 3), (0, 3)), S.part(S8.sql, 0, 3, 0, 3))
 
@@ -322,7 +334,7 @@ for side, trans in product("LR", "NC"):
 
 # -- QR -----------------------------------------------------------------------------------------------------------
 
-A86 = emb(0, 40, 0, 8)
+A86 = fold(0, 40, 0, 8)
 R86 = S.cholesky(S.mm(A86.T.sql, A86.sql), 8)
 
 
@@ -345,7 +357,7 @@ _thin = S.solve("R", "U", False, False, R86, A86.sql, 8, 40)
 _inverse = S.solve("L", "U", False, False, S.cholesky(S.mm(S.t(E8), E8), 8), S.eye(8), 8, 8)
 matrix("qr_q_thin", lambda s, d: qr.tall_q(rows8(s, d), "vec_id", "a", 8)[0], S.mm(E8, _inverse))
 matrix("qr_q_orthogonality", lambda s, d: (lambda q: gemm.gemm("T", "N", 1, q, q))(qr.geqrt(A86(s, d), 3).q()), S.eye(8))
-B405, B540 = emb(100, 40, 0, 5), emb(200, 5, 0, 40)
+B405, B540 = fold(100, 40, 0, 5), fold(200, 5, 0, 40)
 matrix("unmqr_l_c", lambda s, d: (lambda f: turned_rows(qr.unmqr("L", "C", f, B405(s, d)).slice((0, 8), (0, 5)), f.r))(qr.geqrt(A86(s, d), 3)), S.mm(S.t(_thin), B405.sql))
 matrix("unmqr_r_n", lambda s, d: (lambda f: turned_rows(qr.unmqr("R", "N", f, B540(s, d)).slice((0, 5), (0, 8)).T, f.r).T)(qr.geqrt(A86(s, d), 3)), S.mm(B540.sql, _thin))
 matrix("unmqr_roundtrip_l", lambda s, d: (lambda f: qr.unmqr("L", "N", f, qr.unmqr("L", "C", f, B405(s, d))))(qr.geqrt(A86(s, d), 3)), B405.sql)
@@ -357,8 +369,8 @@ def turned_rows(a: Matrix, r: Matrix) -> Matrix:
     return Matrix(a.df.join(sign, "i").select("i", "j", (F.col("v") * F.col("_s")).alias("v")), a.m, a.n)
 
 
-A1, A2 = S8.tri("U"), emb(60, 12, 0, 8)
-A2U = Input(lambda s, d: emb(60, 8, 0, 8)(s, d).tri("U"), S.tri(emb(60, 8, 0, 8).sql, "U"))
+A1, A2 = S8.tri("U"), fold(60, 12, 0, 8)
+A2U = Input(lambda s, d: fold(60, 8, 0, 8)(s, d).tri("U"), S.tri(fold(60, 8, 0, 8).sql, "U"))
 _stack = lambda a, b: S.cholesky(S.add((1, S.mm(S.t(a), a)), (1, S.mm(S.t(b), b))), 8)
 matrix("tsqrt_merge", lambda s, d: turned(qr.tsqrt(A1(s, d), A2(s, d), 3)[0].tri("U")), _stack(A1.sql, A2.sql))
 matrix("ttqrt_merge", lambda s, d: turned(qr.ttqrt(A1(s, d), A2U(s, d), 3)[0].tri("U")), _stack(A1.sql, A2U.sql))
@@ -382,13 +394,13 @@ matrix("ttmqr_l", _replay(qr.ttqrt, qr.ttmqr, False, S8, A2U), S8.sql)
 matrix("ttmqr_r", _replay(qr.ttqrt, qr.ttmqr, True, S8, A2U), S8.sql)
 
 # The same reflectors with V and T given: one panel, so the result has a closed form.
-TV, TT = emb(140, 12, 0, 3), T3
+TV, TT = fold(140, 12, 0, 3), T3
 for kind, name, side, trans in ((k, n, x, y) for (k, n) in ((qr.tsmqr, "tsmqr"), (qr.ttmqr, "ttmqr")) for x in "LR" for y in "NC"):
     cond = "true" if name == "tsmqr" else "i <= j"
     v = S.where(TV.sql, cond)
     tt = S.tri(TT.sql, "U")
     tt = S.t(tt) if trans == "C" else tt
-    c1, c2 = (emb(160, 3, 0, 5), emb(170, 12, 0, 5)) if side == "L" else (emb(160, 5, 0, 3), emb(170, 5, 0, 12))
+    c1, c2 = (fold(160, 3, 0, 5), fold(170, 12, 0, 5)) if side == "L" else (fold(160, 5, 0, 3), fold(170, 5, 0, 12))
     w = S.mm(tt, S.add((1, c1.sql), (1, S.mm(S.t(v), c2.sql)))) if side == "L" else S.mm(S.add((1, c1.sql), (1, S.mm(c2.sql, v))), tt)
     second = S.add((1, c2.sql), (-1, S.mm(v, w) if side == "L" else S.mm(w, S.t(v))))
     matrix(f"{name}_{side}{trans}_given".lower(), lambda s, d, kind=kind, o=(side, trans), c1=c1, c2=c2: kind(*o, c1(s, d), c2(s, d), TV(s, d), TT(s, d).tri("U"))[1], second)
@@ -404,18 +416,18 @@ def masked(v: str, direct: str, storev: str, rows: int, columns: int) -> str:
 
 
 for storev, trans in (("C", "T"), ("C", "C"), ("R", "N")):
-    a = emb(220, 7, 0, 5) if storev == "C" else emb(220, 5, 0, 7)
+    a = fold(220, 7, 0, 5) if storev == "C" else fold(220, 5, 0, 7)
     rows, columns = (7, 5) if storev == "C" else (5, 7)
     p = masked(a.sql, "F", storev, rows, columns)
-    x, y = emb(230, 1, 0, 7).T, emb(231, 1, 0, 5).T
+    x, y = fold(230, 1, 0, 7).T, fold(231, 1, 0, 5).T
     matrix(f"pemv_{storev}{trans}".lower(), lambda s, d, o=(trans, storev), a=a, x=x, y=y: pentagon.pemv(*o, L_, 1.5, a(s, d), x(s, d), 0.5, y(s, d)), S.add((1.5, S.mm(S.t(p) if storev == "C" else p, x.sql)), (0.5, y.sql)))
 for side, direct, storev in product("LR", "FB", "CR"):
-    v = emb(240, 7, 0, 4) if storev == "C" else emb(240, 4, 0, 7)
+    v = fold(240, 7, 0, 4) if storev == "C" else fold(240, 4, 0, 7)
     col = masked(v.sql, direct, storev, *((7, 4) if storev == "C" else (4, 7)))
     col = col if storev == "C" else S.t(col)
     left = side == "L"
-    a1, a2 = (emb(260, 4, 0, 5), emb(270, 7, 0, 5)) if left else (emb(260, 5, 0, 4), emb(270, 5, 0, 7))
-    w = emb(280, 4, 0, 5) if left else emb(280, 5, 0, 4)
+    a1, a2 = (fold(260, 4, 0, 5), fold(270, 7, 0, 5)) if left else (fold(260, 5, 0, 4), fold(270, 5, 0, 7))
+    w = fold(280, 4, 0, 5) if left else fold(280, 5, 0, 4)
     o = (side, direct, storev, L_)
     name = f"{side}{direct}{storev}".lower()
     w_sql = S.add((1, a1.sql), (1, S.mm(S.t(col), a2.sql) if left else S.mm(a2.sql, col)))

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from lattica.matrix import Matrix
 from lattica.plans.physical import BLOCK
-from lattica.types import require
+from lattica.types import Uplo, require
 
 SCHEMA = "bi int, bj int, nr int, nc int, data binary"
-#: Products of a result block that are summed in one task before the final sum.
-FAN_IN = 16
+#: Blocks of the contracted index that a group takes, and the side of its square of result blocks: twice SQUARE * FAN_IN blocks, 64 MB, are in memory.
+FAN_IN, SQUARE = 16, 4
 
 
 @dataclass(frozen=True)
@@ -60,27 +60,39 @@ class BlockMatrix:
 
         return Matrix(self.df.mapInPandas(unroll, f"i long, j long, {values}"), self.m, self.n, is_complex)
 
-    def multiply(self, other: "BlockMatrix") -> "BlockMatrix":
-        """Blocks join on the contracted index; partial products are summed FAN_IN at a time, then once more."""
+    def multiply(self, other: "BlockMatrix", triangle: Uplo | None = None) -> "BlockMatrix":
+        """Result blocks are made in squares of SQUARE x SQUARE, from FAN_IN blocks of the contracted index at a time: a block is sent to one group for
+        each SQUARE result blocks. Partial products are then summed. With ``triangle`` only the result blocks that meet it are made."""
         require(self.n == other.m and self.block == other.block, "sizes differ")
         a, b = (self, other) if self.complex == other.complex else (self.to_complex(), other.to_complex())
         dtype = a.dtype
-        pairs = a.df.alias("a").join(b.df.alias("b"), F.col("a.bj") == F.col("b.bi")).select(
-            F.col("a.bi").alias("bi"), F.col("b.bj").alias("bj"), F.floor(F.col("a.bj") / FAN_IN).cast("int").alias("part"),
-            F.col("a.nr").alias("nr"), F.col("a.nc").alias("nk"), F.col("b.nc").alias("nc"), F.col("a.data").alias("x"), F.col("b.data").alias("y"),
-        )
-
-        def products(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = 0
-            for r in pdf.itertuples(index=False):
-                out = out + np.frombuffer(r.x, dtype).reshape(r.nr, r.nk) @ np.frombuffer(r.y, dtype).reshape(r.nk, r.nc)
-            return pd.DataFrame({"bi": pdf["bi"].iloc[:1], "bj": pdf["bj"].iloc[:1], "nr": [out.shape[0]], "nc": [out.shape[1]], "data": [out.tobytes()]})
+        high, wide = (max(1, -(-x // (self.block * SQUARE))) for x in (self.m, other.n))
+        over = lambda c, k: F.floor(F.col(c) / k).cast("int")
+        everywhere = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        x = a.df.select("*", over("bi", SQUARE).alias("si"), everywhere(wide).alias("sj"), over("bj", FAN_IN).alias("part"))
+        y = b.df.select("*", everywhere(high).alias("si"), over("bj", SQUARE).alias("sj"), over("bi", FAN_IN).alias("part"))
+        if triangle:
+            meets = F.col("si") >= F.col("sj") if triangle is Uplo.LOWER else F.col("si") <= F.col("sj")
+            x, y = x.where(meets), y.where(meets)
+
+        def products(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            right: dict = {}
+            for r in y.itertuples(index=False):
+                right.setdefault(r.bi, []).append((r.bj, np.frombuffer(r.data, dtype).reshape(r.nr, r.nc)))
+            out: dict = {}
+            for r in x.sort_values(["bi", "bj"]).itertuples(index=False):
+                left = np.frombuffer(r.data, dtype).reshape(r.nr, r.nc)
+                for bj, z in right.get(r.bj, []):
+                    if triangle is None or (r.bi >= bj if triangle is Uplo.LOWER else r.bi <= bj):
+                        out[r.bi, bj] = out.get((r.bi, bj), 0) + left @ z
+            return pd.DataFrame([(bi, bj, *z.shape, z.tobytes()) for (bi, bj), z in out.items()], columns=["bi", "bj", "nr", "nc", "data"])
 
         def total(pdf: pd.DataFrame) -> pd.DataFrame:
             out = sum(np.frombuffer(d, dtype) for d in pdf["data"])
             return pdf.iloc[:1].assign(data=[out.tobytes()])
 
-        part = pairs.groupBy("bi", "bj", "part").applyInPandas(products, SCHEMA)
+        key = ["si", "sj", "part"]
+        part = x.groupBy(*key).cogroup(y.groupBy(*key)).applyInPandas(products, SCHEMA)
         if -(-self.n // self.block) > FAN_IN:
             part = part.groupBy("bi", "bj").applyInPandas(total, SCHEMA)
         return BlockMatrix(part, self.m, other.n, self.block, a.complex)

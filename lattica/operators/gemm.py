@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.number import Num
@@ -50,10 +50,17 @@ def gemm_sub(a: Matrix, b: Matrix, c: Matrix) -> Matrix:
     return gemm("N", "N", -1, b, c, 1, a)
 
 
-def _rank_k(uplo, trans, alpha: complex, a: Matrix, beta: complex, c: Matrix | None, conjugate: bool) -> Matrix:
+def _rank_k(uplo, trans, alpha: complex, a: Matrix, beta: complex, c: Matrix | None, conjugate: bool, ib: int | None) -> Matrix:
+    """By entries, or by blocks (of ``ib``, if given) of which those of one triangle are made."""
     x = a if Trans.of(trans) is Trans.NONE else a.op("C" if conjugate else "T")
     y = x.H if conjugate else x.T
     lower = Uplo.of(uplo) is Uplo.LOWER
+    if ib or choose_product(x.m, x.n, x.m) is Strategy.BLOCK:
+        from lattica.operators.block import BlockMatrix
+
+        size = (ib,) if ib else ()
+        out = BlockMatrix.from_matrix(x, *size).multiply(BlockMatrix.from_matrix(y, *size), Uplo.of(uplo)).to_matrix().tri(uplo).scale(alpha)
+        return out if c is None or beta == 0 else out.add(c.tri(uplo), 1, beta)
     is_complex = x.complex
     z = Num.of("a", x.complex) * Num.of("b", y.complex)
     half = F.col("a.i") >= F.col("b.j") if lower else F.col("a.i") <= F.col("b.j")  # in the join: half the products are never made
@@ -62,14 +69,14 @@ def _rank_k(uplo, trans, alpha: complex, a: Matrix, beta: complex, c: Matrix | N
     return out if c is None or beta == 0 else out.add(c.tri(uplo), 1, beta)
 
 
-def syrk(uplo, trans, alpha: complex, a: Matrix, beta: complex = 0, c: Matrix | None = None) -> Matrix:
+def syrk(uplo, trans, alpha: complex, a: Matrix, beta: complex = 0, c: Matrix | None = None, ib: int | None = None) -> Matrix:
     """One triangle of alpha A Aᵀ + beta C (Aᵀ A for trans other than N)."""
-    return _rank_k(uplo, trans, alpha, a, beta, c, False)
+    return _rank_k(uplo, trans, alpha, a, beta, c, False, ib)
 
 
-def herk(uplo, trans, alpha: float, a: Matrix, beta: float = 0, c: Matrix | None = None) -> Matrix:
+def herk(uplo, trans, alpha: float, a: Matrix, beta: float = 0, c: Matrix | None = None, ib: int | None = None) -> Matrix:
     """One triangle of alpha A Aᴴ + beta C (Aᴴ A for trans other than N)."""
-    return _rank_k(uplo, trans, alpha, a, beta, c, True)
+    return _rank_k(uplo, trans, alpha, a, beta, c, True, ib)
 
 
 def _rank_2k(uplo, trans, alpha: complex, a: Matrix, b: Matrix, beta: complex, c: Matrix | None, conjugate: bool) -> Matrix:
@@ -94,6 +101,13 @@ def her2k(uplo, trans, alpha: complex, a: Matrix, b: Matrix, beta: float = 0, c:
     return _rank_2k(uplo, trans, alpha, a, b, beta, c, True)
 
 
+def cells(rows: DataFrame, array: str, n: int) -> Column:
+    """The cells as doubles; a null one, one of another length than ``n`` and one with a null element are errors."""
+    a = F.col(array).cast("array<double>")
+    right = F.coalesce((F.size(a) == n) & ~F.exists(a, lambda x: x.isNull()), F.lit(False))
+    return F.when(right, a).otherwise(F.raise_error(F.lit(f"a cell of {array} has not {n} numbers")).cast("array<double>"))
+
+
 def tall_gram(rows: DataFrame, array: str, n: int) -> Matrix:
     """XᵀX of the matrix whose rows are the cells of ``array``, without row keys.
 
@@ -110,7 +124,6 @@ def tall_gram(rows: DataFrame, array: str, n: int) -> Matrix:
         i, j = np.nonzero(np.triu(g))
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(g[i, j])], ["i", "j", "v"])
 
-    cells = rows.where(F.col(array).isNotNull()).select(F.col(array).cast("array<double>").alias("_a"))
-    half = cells.mapInArrow(partial, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    half = rows.select(cells(rows, array, n).alias("_a")).mapInArrow(partial, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
     mirrored = half.unionByName(half.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
     return Matrix(mirrored, n, n)

@@ -1,14 +1,17 @@
 """LU factorization with four pivot strategies, row swaps, determinant and solve.
 
 A factor that fits one task is made there; a larger one goes by panels: the panel's columns are factored in one task,
-its row order is applied by a join, and what trails is updated by a block product.
+its row order is applied by a join, and what trails is updated by a block product. Tall matrices have narrower panels, so that up to two
+million rows go; finished columns of L keep the numbers that their rows have in A until the end, when one join puts all in order.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,12 +116,14 @@ def getc2(a: Matrix) -> LUResult:
 
 
 def lu_by_panels(a: Matrix, pivot=Pivot.ROW_MAX, panel: int = PANEL) -> LUResult:
-    """Right-looking LU of matrices too large for one task; a panel of m x ``panel`` elements must fit one."""
+    """Right-looking LU of matrices too large for one task; a panel of m x ``panel`` elements, made narrower for tall matrices, must fit one."""
     pivot, k, spark = Pivot(pivot), min(a.m, a.n), a.df.sparkSession
     if not k:
         return _results(a, lambda x: kernels.lu(x, pivot))
+    panel = max(1, min(panel, LOCAL_ELEMENTS // (4 * a.m)))
     order = np.arange(a.m)
-    left, upper, placed, rest, info = [], [], [], cut(a), 0
+    columns, upper, rest, info = [], [], cut(a), 0
+    numbered = lambda p, s, names: spark.createDataFrame(pd.DataFrame({names[0]: np.arange(s, s + len(p)), names[1]: p}), f"{names[0]} long, {names[1]} long")
     for s in range(0, k, panel):
         e = min(s + panel, k)
         m, n = a.m - s, a.n - s
@@ -127,8 +132,8 @@ def lu_by_panels(a: Matrix, pivot=Pivot.ROW_MAX, panel: int = PANEL) -> LUResult
         turn = head.rows.to_numpy().real.ravel().astype(int) - 1
         order[s:] = order[s:][turn]
         perm = head.row_perm
-        left = [x.permute(perm) for x in left]  # earlier columns follow the swaps; they start at row s
-        left.append(head.l)
+        source = numbered(order[s:], 0, ("i", "src"))  # of this panel's rows
+        columns.append(head.l.df.join(source, "i").select("src", (F.col("j") + s).alias("j"), *head.l.values))
         upper.append(head.u.shift(s, s, k, a.n))
         if e < a.n:
             tail = rest.slice((0, m), (e - s, n)).permute(perm)
@@ -138,13 +143,8 @@ def lu_by_panels(a: Matrix, pivot=Pivot.ROW_MAX, panel: int = PANEL) -> LUResult
             if e < a.m:
                 below = head.l.slice((e - s, m), (0, e - s))
                 rest = cut(tail.slice((e - s, m), (0, n - (e - s))).add(below @ u12, 1, -1))
-        # What of L lies in finished rows is placed; the rest goes on to be permuted.
-        done = [x.slice((0, e - s), (0, x.n)) for x in left]
-        yet = [x.slice((e - s, x.m), (0, x.n)) for x in left]
-        placed += [(s, c * panel, x) for c, x in enumerate(done)]
-        left = [cut(x) for x in yet] if e < k else yet
-    final = placed + [(k, c * panel, x) for c, x in enumerate(left) if x.m]
-    l = _union([x.shift(r, c, a.m, k) for r, c, x in final])
+    l = reduce(DataFrame.unionByName, columns).join(numbered(order, 0, ("i", "src")), "src")
+    l = Matrix(l.select("i", "j", *a.values), a.m, k, a.complex)
     vector = lambda p: Matrix.from_numpy(spark, np.asarray(p, float)[:, None] + 1)
     return LUResult(l, _union(upper), vector(order), vector(np.arange(a.n)), Matrix.from_numpy(spark, np.array([[float(info)]])))
 

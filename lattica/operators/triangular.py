@@ -115,11 +115,11 @@ def rectrxm(side, uplo, trans, alpha: complex, func: str, a: Matrix, b: Matrix,
     return _multiply(side, uplo, trans, "N", a, b, limit).scale(alpha)
 
 
-def lauum(uplo, a: Matrix) -> Matrix:
-    """The upper triangle of U Uᴴ, or the lower one of Lᴴ L; the other triangle is A's own."""
+def lauum(uplo, a: Matrix, ib: int | None = None) -> Matrix:
+    """The upper triangle of U Uᴴ, or the lower one of Lᴴ L; the other triangle is A's own. Large ones, or with ``ib`` any, go by blocks."""
     require(a.m == a.n, f"the triangle is square, not {a.size()}")
     upper = Uplo.of(uplo) is Uplo.UPPER
-    product = herk(uplo, "N" if upper else "C", 1, a.tri(uplo))
+    product = herk(uplo, "N" if upper else "C", 1, a.tri(uplo), ib=ib)
     other = a.tri("L", -1) if upper else a.tri("U", 1)
     return replace(product, df=product.df.unionByName(other.df))
 

@@ -13,10 +13,13 @@ if TYPE_CHECKING:
 
 
 def cut_frame(df: DataFrame) -> DataFrame:
-    """Compute once and forget how; the folder is ``spark.checkpoint.dir``, or one of our own where that is unset, as in tests."""
+    """Compute once and forget how; the folder is ``spark.checkpoint.dir``. Where that is unset, one JVM alone (``local[...]``) may use a folder of its own; a cluster has none that all can read."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 

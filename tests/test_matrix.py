@@ -248,3 +248,78 @@ def test_filters_reach_the_scan(spark, data):
 
     plan = emb(0, 8, 0, 4)(spark, data).df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(vec_id), GreaterThanOrEqual(vec_id,0), LessThan(vec_id,8)" in plan
+
+
+# -- paths for sizes beyond one task ------------------------------------------------------------------------------
+
+
+def rows_of(spark, a, parts=7):
+    return spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(a)], "k long, a array<double>").repartition(parts)
+
+
+@pytest.mark.parametrize("uplo", "UL")
+@pytest.mark.parametrize("cx", [False, True])
+def test_rank_k_by_blocks(of, cx, uplo):
+    a, c = draw(11, 70, cx=cx), draw(11, 11, cx=cx)
+    half = np.triu if uplo == "U" else np.tril
+    assert np.allclose(gemm.syrk(uplo, "N", 2, of(a), 3, of(c), ib=2).to_numpy(), half(2 * a @ a.T + 3 * c))
+    assert np.allclose(gemm.herk(uplo, "C", 2, of(a.T), 1, of(c), ib=3).to_numpy(), half(2 * a.conj() @ a.T + c))
+    t = draw(9, 9, cx=cx)
+    assert np.allclose(triangular.lauum(uplo, of(t), ib=2).to_numpy(), triangular.lauum(uplo, of(t)).to_numpy())
+
+
+@pytest.mark.parametrize("cx", [False, True])
+def test_block_products_in_squares(of, cx):
+    a, b = draw(23, 41, cx=cx), draw(41, 17)
+    got = BlockMatrix.from_matrix(of(a), 2).multiply(BlockMatrix.from_matrix(of(b), 2)).to_matrix()
+    assert np.allclose(got.to_numpy(), a @ b)
+
+
+@pytest.mark.parametrize("bad", [[1.0, 2.0], [1.0, None, 3.0], None, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]])
+def test_ragged_cells_are_errors(spark, bad):
+    df = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, bad), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0])], "k long, a array<double>")
+    for f in (lambda: gemm.tall_gram(df, "a", 3).df.collect(), lambda: qr.tall_r(df, "a", 3).df.collect(), lambda: qr.tall_q(df, "k", "a", 3)):
+        with pytest.raises(Exception, match="has not 3 numbers"):
+            f()
+
+
+@pytest.mark.parametrize("kind", ["full", "deficient", "zero column", "wide"])
+def test_tree_is_replayed(spark, monkeypatch, kind):
+    monkeypatch.setattr(qr, "LEAF", 5)
+    monkeypatch.setattr(qr, "FAN_IN", 3)
+    a = draw(3 if kind == "wide" else 200, 4)
+    if kind == "deficient":
+        a[:, 3] = a[:, 0] - 2 * a[:, 1]
+    if kind == "zero column":
+        a[:, 1] = 0
+    q, r = (x.to_numpy() for x in qr.tall_q(rows_of(spark, a), "k", "a", 4))
+    assert np.allclose(q @ r[: q.shape[1]], a) and np.allclose(q.T @ q, np.eye(min(a.shape))) and (np.diagonal(r) >= -1e-12).all()
+    got = qr.tall_r(rows_of(spark, a, 12), "a", 4).to_numpy()
+    assert np.allclose(got.T @ got, a.T @ a)
+    assert qr.tall_q(rows_of(spark, a).limit(0), "k", "a", 4)[0].size() == (0, 4)
+
+
+@pytest.mark.parametrize(("m", "n"), [(40, 7), (7, 12), (9, 9)])
+def test_qr_by_panels(of, m, n):
+    a, c = draw(m, n), draw(m, 3)
+    f = qr.geqrt_by_panels(of(a), 3)
+    k = min(m, n)
+    q = f.q(thin=False).to_numpy()
+    assert np.allclose(q[:, :k] @ f.r.to_numpy(), a) and np.allclose(q.T @ q, np.eye(m))
+    for trans, x in (("N", q), ("C", q.T)):
+        assert np.allclose(qr.unmqr("L", trans, f, of(c)).to_numpy(), x @ c) and np.allclose(qr.unmqr("R", trans, f, of(c.T)).to_numpy(), c.T @ x)
+
+
+def test_large_qr_goes_by_panels(spark, monkeypatch):
+    monkeypatch.setattr(qr, "LOCAL_ELEMENTS", 100)
+    a = draw(30, 5)
+    f = qr.geqrt(Matrix.from_numpy(spark, a))
+    assert f.panel and np.allclose(f.q().to_numpy() @ f.r.to_numpy(), a)
+
+
+def test_tall_lu_has_narrow_panels(of, monkeypatch):
+    monkeypatch.setattr(lu, "LOCAL_ELEMENTS", 400)
+    a = draw(50, 6)
+    f = lu.lu_by_panels(of(a), "row_max")
+    rows = {r["k"]: r["src"] for r in f.row_perm.collect()}
+    assert np.allclose(f.l.to_numpy() @ f.u.to_numpy(), a[[rows[k] for k in range(50)]])
