@@ -446,3 +446,107 @@ for side, direct, storev in product("LR", "FB", "CR"):
             return Matrix(x.df.unionByName(y.shift(4 if left else 0, 0 if left else 4, m, n).df), m, n)
 
         matrix(f"parfb_{name}_{trans.lower()}", parfb, both)
+
+# -- whole tables by the ways for sizes beyond one task -----------------------------------------------------------
+
+for u in "UL":
+    cond = "j >= i" if u == "U" else "j <= i"
+    matrix(f"syrk_blocks_{u.lower()}", lambda s, d, u=u: gemm.syrk(u, "T", 1.5, E(s, d), 0.5, S64(s, d), ib=16), ORACLES[f"syrk_{u.lower()}"].join(("(", ")")))
+    x = S.tri(S64.sql, u)
+    z = S.mm(x, S.t(x)) if u == "U" else S.mm(S.t(x), x)
+    matrix(f"lauum_blocks_{u.lower()}", lambda s, d, u=u: triangular.lauum(u, S64(s, d), ib=16), f"(SELECT i, j, v FROM {z} WHERE {cond} UNION ALL SELECT i, j, v FROM {S64.sql} WHERE NOT {cond})")
+R64 = S.cholesky(S.mm(E.T.sql, E.sql), 64)
+matrix("qr_panels_r", lambda s, d: turned(qr.geqrt_by_panels(E(s, d), 24).r), R64)
+matrix("unmqr_panels", lambda s, d: (lambda f: turned_rows(qr.unmqr("L", "C", f, E(s, d).slice((0, f.packed.m), (0, 64))).slice((0, 64), (0, 64)), f.r))(qr.geqrt_by_panels(E(s, d), 24)), R64)
+register("lu_panels_gram", lambda s, d: lu.lu_by_panels(S64(s, d), "row_max", 24).u.compact(), S.result(S.where(S.packed(S64.sql, 64, "row_max"), "i <= j")))
+
+# -- complex operands ---------------------------------------------------------------------------------------------
+
+
+def cfold(r0: int, nr: int, nc: int, diagonal: float = 0) -> tuple[Build, tuple[str, str]]:
+    re, im = fold(r0, nr, 0, nc), fold(r0, nr, 32, nc)
+    re = re + eye(nr).scaled(diagonal) if diagonal else re
+    return complexed(re, im), (re.sql, im.sql)
+
+
+def ctri(a: tuple[str, str], uplo: str) -> tuple[str, str]:
+    return S.tri(a[0], uplo), S.tri(a[1], uplo)
+
+
+def csolve(a: tuple[str, str], b: tuple[str, str], n: int, other: int) -> tuple[str, str]:
+    """X with A X = B, by the real system of twice the order."""
+    whole = f"(SELECT i, j, v FROM {a[0]} UNION ALL SELECT i, j + {n}, -v FROM {a[1]} UNION ALL SELECT i + {n}, j, v FROM {a[1]} UNION ALL SELECT i + {n}, j + {n}, v FROM {a[0]})"
+    right = f"(SELECT i, j, v FROM {b[0]} UNION ALL SELECT i + {n}, j, v FROM {b[1]})"
+    factors = S.packed(whole, 2 * n)
+    x = S.solve("L", "U", False, False, factors, S.solve("L", "L", False, True, factors, right, 2 * n, other), 2 * n, other)
+    return S.part(x, 0, n, 0, other), S.part(x, n, 2 * n, 0, other)
+
+
+(c4, s4), (c43, s43), (c34, s34) = cfold(5, 4, 4, 2), cfold(6, 4, 3), cfold(7, 3, 4)
+for side, uplo, trans in product("LR", "LU", "NC"):
+    x = ctri(s4, uplo)
+    x = cadj(x) if trans == "C" else x
+    left = side == "L"
+    b, sb_ = (c43, s43) if left else (c34, s34)
+    name = f"{side}{uplo}{'_c' if trans == 'C' else ''}".lower()
+    o = (side, uplo, trans, "N")
+    complex_matrix(f"complex_trmm_{name}", lambda s, d, o=o, b=b: triangular.trmm(*o, c4(s, d), b(s, d), 1.5), *(S.scale(1.5, z) for z in (cmm(x, sb_) if left else cmm(sb_, x))))
+    if left:
+        solved = csolve(x, sb_, 4, 3)
+    else:
+        solved = tuple(S.t(z) for z in csolve((S.t(x[0]), S.t(x[1])), (S.t(sb_[0]), S.t(sb_[1])), 4, 3))
+    complex_matrix(f"complex_trsm_{name}", lambda s, d, o=o, b=b: triangular.trsm(*o, c4(s, d), b(s, d)), *solved)
+for u in "UL":
+    x = ctri(s4, u)
+    cond = "j >= i" if u == "U" else "j <= i"
+    z = cmm(x, cadj(x)) if u == "U" else cmm(cadj(x), x)
+    complex_matrix(f"complex_lauum_{u.lower()}", lambda s, d, u=u: triangular.lauum(u, c4(s, d)), *(f"(SELECT i, j, v FROM {p} WHERE {cond} UNION ALL SELECT i, j, v FROM {q} WHERE NOT {cond})" for p, q in zip(z, s4, strict=True)))
+
+
+def _rebuilt(pivot: str) -> Build:
+    """L U with rows and columns in the order of A again."""
+
+    def build(s: SparkSession, d: str) -> Matrix:
+        f = lu.getc2(c4(s, d)) if pivot == "getc2" else lu.lu(c4(s, d), pivot)
+        swapped = lambda p: p.select(F.col("src").alias("k"), F.col("k").alias("src"))
+        return gemm.multiply(f.l, f.u).permute(swapped(f.row_perm)).permute(swapped(f.col_perm), 1)
+
+    return build
+
+
+for pivot in ("none", "row_nonzero", "row_max", "complete", "getc2"):
+    complex_matrix(f"complex_lu_{pivot}", _rebuilt(pivot), *s4)
+complex_matrix("complex_solve", lambda s, d: lu.lu(c4(s, d), "row_max").solve(c43(s, d)), *csolve(s4, s43, 4, 3))
+(c93, s93), (c94, s94) = cfold(8, 9, 3), cfold(9, 9, 4)
+complex_matrix("complex_qr", lambda s, d: (lambda f: gemm.multiply(f.q(), f.r))(qr.geqrt(c93(s, d), 2)), *s93)
+complex_matrix("complex_unmqr", lambda s, d: (lambda f: qr.unmqr("L", "N", f, qr.unmqr("L", "C", f, c94(s, d))))(qr.geqrt(c93(s, d), 2)), *s94)
+complex_matrix("complex_gram_of_r", lambda s, d: (lambda r: gemm.gemm("C", "N", 1, r, r))(qr.geqrt(c93(s, d), 2).r), *cmm(cadj(s93), s93))
+
+
+def _ctiles(factor: Callable, second: Build) -> Build:
+    """Rᴴ R of a triangle over a tile."""
+
+    def build(s: SparkSession, d: str) -> Matrix:
+        r = factor(c4(s, d).tri("U"), second(s, d), 2)[0].tri("U")
+        return gemm.gemm("C", "N", 1, r, r)
+
+    return build
+
+
+c4u = ctri(s4, "U")
+second_u = lambda s, d: cfold(10, 4, 4)[0](s, d).tri("U")
+for name, factor, second, sql in (("tsqrt", qr.tsqrt, c94, s94), ("ttqrt", qr.ttqrt, second_u, ctri(cfold(10, 4, 4)[1], "U"))):
+    complex_matrix(f"complex_{name}", _ctiles(factor, second), *cadd(1, cmm(cadj(c4u), c4u), cmm(cadj(sql), sql)))
+for side, trans in product("LR", "NC"):
+    left = side == "L"
+    tt = ctri(s4, "U")
+    tt = cadj(tt) if trans == "C" else tt
+    (v74, sv), (a45, s45), (a75, s75) = cfold(11, 7, 4), cfold(12, 4, 5) if left else cfold(12, 5, 4), cfold(13, 7, 5) if left else cfold(13, 5, 7)
+    p = tuple(masked(z, "F", "C", 7, 4) for z in sv)
+    w = cadd(1, s45, cmm(cadj(p), s75)) if left else cadd(1, s45, cmm(s75, p))
+    o = (side, "F", "C", L_)
+    if trans == "N":
+        complex_matrix(f"complex_pamm_w_{side}".lower(), lambda s, d, o=o, a=a45, b=a75, v=v74: pentagon.pamm("W", *o, a(s, d), b(s, d), v(s, d)), *w)
+    w2 = cmm(tt, w) if left else cmm(w, tt)
+    change = cmm(p, w2) if left else cmm(w2, cadj(p))
+    complex_matrix(f"complex_parfb_{side}{trans}".lower(), lambda s, d, o=(side, trans, "F", "C", L_), a=a45, b=a75, v=v74: pentagon.parfb(*o, a(s, d), b(s, d), v(s, d), c4(s, d))[1], *cadd(-1, change, s75))
