@@ -360,6 +360,8 @@ UNLIKE = round(2 * BITS * (1 - NEAR_SIMILARITY) / 2 + 2.33 * math.sqrt(2 * BITS
 ERRORS = 5.0
 #: Pairs that meet in a group of tasks' input: each text's sketch or set is sent to a group once, not with every pair.
 SKETCH_PAIRS, SET_PAIRS = 16_384, 4_096
+#: Texts of one fingerprint that are looked at together.
+NODE_TEXTS = 1_024
 #: Texts whose keys are broadcast at most (16 bytes each), to find the texts again.
 BROADCAST_ROWS = 1_000_000
 
@@ -438,11 +440,14 @@ def _judge(similarity: float):
 
     def run(pairs: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values(["node", "content"], kind="stable")
-        fp, data = nodes["node"].to_numpy(), nodes["sketch"].tolist()
+        names, first = np.unique(nodes["node"].to_numpy(str), return_index=True)
+        data = nodes["sketch"].tolist()
         whole = np.array([len(x) < 4 * WHOLE for x in data], bool)
         bins = np.stack([bins_of(x) for x in data]) if data and not whole.all() else np.zeros((len(data), 0), np.uint8)
         a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-        (la, lb), (ha, hb) = ([np.searchsorted(fp, x, side=side) for x in (a, b)] for side in ("left", "right"))
+        na, nb = (np.searchsorted(names, pairs[c].to_numpy(str)) for c in ("na", "nb"))
+        last = np.r_[first[1:], len(data)]
+        la, lb, ha, hb = first[na], first[nb], last[na], last[nb]
         found: list[tuple[np.ndarray, ...]] = []
         for step in range(int((ha - la).max(initial=0))):  # the texts of a one by one, each with all of b
             live = np.flatnonzero(la + step < ha)
@@ -450,8 +455,7 @@ def _judge(similarity: float):
             which = np.repeat(live, n)
             i = (la + step)[which]
             j = np.repeat(lb[live] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            own = i < j  # of a fingerprint with itself each pair once
-            own |= a[which] != b[which]
+            own = (na[which] != nb[which]) | (i < j)  # of a node with itself each pair once
             which, i, j = which[own], i[own], j[own]
             for at in range(0, len(i), 1024):
                 w, x, y = which[at : at + 1024], i[at : at + 1024], j[at : at + 1024]
@@ -497,7 +501,15 @@ def alike_texts(pairs: DataFrame, marked: DataFrame, texts: DataFrame, similarit
 
     kind = marked.schema["row"].dataType.simpleString()
     distinct = marked.groupBy("fp", "content").agg(F.min("sketch").alias("sketch"), F.min("row").alias("row"))
-    judged = cut(meet(pairs, distinct, ("a", "b"), "fp", SKETCH_PAIRS, _judge(similarity), f"a long, b long, ra {kind}, rb {kind}, sure boolean"))
+    # A fingerprint of many texts is several nodes, so that no task gets all of them.
+    many = cut(distinct.groupBy("fp").agg(F.ceil(F.count("*") / NODE_TEXTS).cast("int").alias("parts")).where("parts > 1"))
+    name = lambda fp, k: F.concat_ws(":", fp, k)
+    distinct = distinct.join(many, "fp", "left").select(name("fp", F.pmod(F.xxhash64("content"), F.coalesce("parts", F.lit(1)))).alias("node"), "content", "sketch", "row")
+    for c in "ab":
+        parts = many.select(F.col("fp").alias(c), F.col("parts").alias(f"p{c}"))
+        pairs = pairs.join(parts, c, "left").withColumn(f"p{c}", F.explode(F.sequence(F.lit(0), F.coalesce(f"p{c}", F.lit(1)) - 1)))
+    pairs = pairs.where("a <> b or pa <= pb").select("a", "b", name("a", "pa").alias("na"), name("b", "pb").alias("nb"))
+    judged = cut(meet(pairs, distinct, ("na", "nb"), "node", SKETCH_PAIRS, _judge(similarity), f"a long, b long, ra {kind}, rb {kind}, sure boolean"))
     open_ = judged.where("not sure").drop("sure")
     rows = open_.select(F.explode(F.array("ra", "rb")).alias("row")).distinct()
     sets = cut(texts.join(rows, "row", "left_semi").dropDuplicates(["row"]).select("row", "text").mapInArrow(full, f"row {kind}, hashes binary"))

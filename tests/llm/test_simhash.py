@@ -202,3 +202,73 @@ def test_components(spark, shape):
             changed |= root[a] != low or root[b] != low
             root[a] = root[b] = low
     assert got == {n: root[n] for a, b in pairs if a != b for n in (a, b)}
+
+
+# -- the pipeline's way: fingerprints of two-word shingles, min-hashes, sets compared in blocks --------------------
+
+
+def test_minhash_bits_agree_with_similarity():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 2**63, 2000, dtype=np.int64).view(np.uint64)
+    agree = []
+    for k in range(60):
+        x, y = (np.concatenate([a[: 160 + k], rng.integers(0, 2**63, 20, dtype=np.int64).view(np.uint64)]) for _ in range(2))
+        both = [simhash.minhash_bits(z, 1) for z in (x, y)]
+        agree.append(1 - sum((p ^ q).bit_count() for p, q in zip(*both, strict=True)) / 128 - (1 + (160 + k) / (200 + k)) / 2)
+    assert abs(np.mean(agree)) < 0.015 and np.std(agree) < 0.06
+    assert simhash.minhash_bits(np.zeros(0, np.uint64), 5) == simhash.minhash_bits(np.zeros(0, np.uint64), 5)
+
+
+def test_sketches_estimate_and_small_ones_decide():
+    rng = np.random.default_rng(1)
+    new = lambda n: rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64)
+    for n, share in ((100, 0.8), (230, 0.5), (300, 0.8), (5000, 0.8), (5000, 0.3)):
+        common = new(int(n * share))
+        a, b = (np.concatenate([common, new(n - len(common))]) for _ in range(2))
+        got, exact = simhash.resemblance(simhash.sketch(a), simhash.sketch(b))
+        want = len(common) / (2 * n - len(common))
+        assert exact == (n < simhash.WHOLE) and (got == pytest.approx(want) if exact else want - 0.06 < got < want + 0.12)
+
+
+def similarity_pairs(texts):
+    s = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    return {(i, j): len(s[i] & s[j]) / len(s[i] | s[j]) for j in range(len(s)) for i in range(j)}
+
+
+def test_two_word_stage_recall_and_precision(spark):
+    """Of pairs of similarity 0.8 and more at least nine in ten lose one side; and no text goes that is not linked to a kept one."""
+    texts = near_texts(21, [60, 120, 200, 400, 900], 150, (1, 4))
+    sims = similarity_pairs(texts)
+    kept = {r["doc_id"] for r in simhash.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), reach=9, near_shingle=2).collect()}
+    near = [p for p, v in sims.items() if v >= 0.8]
+    assert len(near) > 60 and sum(not set(p) <= kept for p in near) >= 0.9 * len(near)
+    fp = [brute_fingerprint(t) for t in texts]
+    linked = {k: {i + j - k for (i, j), v in sims.items() if k in (i, j) and (v >= 0.8 or (fp[i] ^ fp[j]).bit_count() <= 3)} for k in range(len(texts))}
+    assert all(linked[k] for k in range(len(texts)) if k not in kept)
+
+
+@pytest.mark.parametrize("near", [None, 2])
+def test_a_large_group_of_one_fingerprint(spark, monkeypatch, near):
+    """Many texts of one fingerprint and of one near fingerprint, cut into several nodes and blocks, come out as with one."""
+    base = " ".join(f"b{k}" for k in range(300))
+    texts = [f"{base} {k}" for k in range(60)] + [" ".join(f"c{k}" for k in range(300))] + [None, ""]
+    rows = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate(texts)], "doc_id long, text string, near string, m1 string")
+    whole = sorted(r["doc_id"] for r in simhash.dedup(rows, near_shingle=near).collect())
+    for name, value in (("NODE_TEXTS", 4), ("SKETCH_PAIRS", 3), ("SET_PAIRS", 2)):
+        monkeypatch.setattr(simhash, name, value)
+    assert sorted(r["doc_id"] for r in simhash.dedup(rows, near_shingle=near).collect()) == whole == [0, 60, 61]
+
+
+def test_texts_of_one_fingerprint_in_several_nodes(spark, monkeypatch):
+    """Pairs of a fingerprint with itself and with another, whose texts lie in different nodes."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "NODE_TEXTS", 2)
+    monkeypatch.setattr(simhash, "SKETCH_PAIRS", 2)
+    texts = [" ".join(f"{c}{k}" for k in range(120)) for c in "abcdef"]
+    texts += [t + " end" for t in texts[:3]]
+    fps = [1, 1, 1, 1, 1, 2, 2, 2, 1]
+    marked = spark.createDataFrame([(k, fp, k * 7919, bytearray(s)) for k, (fp, s) in enumerate(zip(fps, simhash.sketches(pa.array(texts)), strict=True))], "row long, fp long, content long, sketch binary")
+    pairs = spark.createDataFrame([(1, 1), (1, 2)], "a long, b long")
+    got = {tuple(sorted((r["ra"], r["rb"]))) for r in simhash.alike_texts(pairs, marked, spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect()}
+    assert got == {(0, 6), (1, 7), (2, 8)}
