@@ -50,6 +50,11 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def text_key() -> Column:
+    """128 bits of the column ``text`` that tell texts; a null text is told from an empty one."""
+    return F.coalesce(F.unhex(F.md5("text")), F.lit(b""))
+
+
 def crc_mod(column: Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo ``modulus``; null for null."""
     return F.crc32(column.cast("string").cast("binary")) % modulus

@@ -42,13 +42,13 @@ BLOCK = 8_192
 EDGE = 1e-9
 
 
-def usable(df: DataFrame) -> DataFrame:
+def usable(df: DataFrame, salt: int = 0) -> DataFrame:
     """(vec_id, label, v, uid): v is null for vectors that link with nothing; uid is a hash of label and vector."""
     v = F.col("embedding").cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = ~F.exists(v, lambda x: x != 0)
     v = F.when(F.col("label").isNull() | v.isNull() | F.coalesce(bad, F.lit(True)) | zero, None).otherwise(v)
-    return df.select("vec_id", "label", v.alias("v")).withColumn("uid", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")))
+    return df.select("vec_id", "label", v.alias("v")).withColumn("uid", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(salt), "label", "v")))
 
 
 def choose_pivots(nodes: DataFrame, r: float) -> dict:
@@ -206,10 +206,20 @@ def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     return pairs.groupBy("label", "dim", "cell", "a", "b", "g").applyInPandas(_join_blocks(cosine), "uid long, n long, other long")
 
 
+def distinct_vectors(embeddings: DataFrame, tries: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes): the usable rows, and each distinct vector of a label with its count, under a uid that no other has: hashes are salted anew until that is so."""
+    for salt in range(tries):
+        rows = usable(embeddings, salt)
+        nodes = rows.where("uid is not null").groupBy("label", "v").agg(F.first("uid").alias("uid"), F.count("*").alias("c"), F.min("vec_id").alias("least"))
+        nodes = cut(nodes.withColumn("dim", F.size("v")))
+        if nodes.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return rows, nodes
+    raise RuntimeError(f"hashes of vectors collide under {tries} salts")
+
+
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row for each row of ``embeddings``."""
-    rows = usable(embeddings)
-    nodes = cut(rows.where("uid is not null").groupBy("label", "v").agg(F.first("uid").alias("uid"), F.count("*").alias("c"), F.min("vec_id").alias("least")).withColumn("dim", F.size("v")))
+    rows, nodes = distinct_vectors(embeddings)
     found = cut(links(nodes, cosine))
     roots = components(found.select(F.col("uid").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "uid")
     counts = found.groupBy("uid").agg(F.sum("n").alias("n"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import chunks, components, cut, fresh, utf8
+from lattica.llm.common import chunks, components, cut, fresh, text_key, utf8
 from lattica.llm.words import mix, words
 
 BITS = 64
@@ -566,8 +566,7 @@ def dedup(documents: DataFrame, id_column: str = "doc_id", shingle: int = SHINGL
     null and empty texts are alike, a null text is told from an empty one.
     """
     key = fresh(documents.columns, "_key")
-    text_key = F.coalesce(F.unhex(F.md5("text")), F.lit(b""))
-    numbered = documents.withColumn(key, text_key)
+    numbered = documents.withColumn(key, text_key())
     marked = fingerprints(numbered, id_column, shingle, (key,), near_shingle).withColumnRenamed(key, "key")
     if not near_shingle:
         marked = marked.select("*", F.col("fp").alias("near"), *(F.lit(None).cast("long").alias(c) for c in ("m1", "m2")))

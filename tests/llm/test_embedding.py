@@ -96,3 +96,15 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, uid string").withColumn("v", F.lit(1)).withColumn("cell", F.lit("c")).withColumn("dim", F.lit(3)).withColumn("component_id", F.lit(9))
     got = sorted(tuple(r) for r in embedding.near_duplicates(df).collect())
     assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_colliding_hashes_are_salted_anew(spark, monkeypatch):
+    rows = [(k, [1.0, float(k)], 0) for k in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = sorted(tuple(r) for r in embedding.near_duplicates(df).collect())
+    plain = embedding.usable
+    monkeypatch.setattr(embedding, "usable", lambda d, salt=0: plain(d, salt) if salt else plain(d).withColumn("uid", F.lit(7).cast("long")))
+    assert sorted(tuple(r) for r in embedding.near_duplicates(df).collect()) == want
+    monkeypatch.setattr(embedding, "usable", lambda d, salt=0: plain(d).withColumn("uid", F.lit(7).cast("long")))
+    with pytest.raises(RuntimeError):
+        embedding.near_duplicates(df)
