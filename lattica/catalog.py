@@ -154,8 +154,8 @@ def _part(column: str) -> Input:
 x_part, y_part = _part("p_size"), _part("p_retailprice")
 matrix("axpy", lambda s, d: vector.axpy(0.7, x_part(s, d), y_part(s, d)), S.add((0.7, x_part.sql), (1, y_part.sql)))
 register("dot", lambda s, d: vector.dot(x_part(s, d), y_part(s, d)).df.select(F.round("v", 2).alias("v")), "SELECT round(sum(p_size::DOUBLE * p_retailprice), 2) AS v FROM part")
-matrix("gemv_n", lambda s, d: vector.gemv("N", 1.5, E(s, d), fold(3, 1, 0, 64)(s, d).T, 0.5, E(s, d).slice((0, E(s, d).m), (1, 2))), S.add((1.5, S.mm(E.sql, fold(3, 1, 0, 64).T.sql)), (0.5, f"(SELECT i, 0 AS j, v FROM {E.sql} WHERE j = 1)")))
-matrix("gemv_t", lambda s, d: vector.gemv("T", 1, E(s, d), E(s, d).slice((0, E(s, d).m), (0, 1))), S.mm(E.T.sql, f"(SELECT i, 0 AS j, v FROM {E.sql} WHERE j = 0)"))
+matrix("gemv_n", lambda s, d: (lambda e: vector.gemv("N", 1.5, e, fold(3, 1, 0, 64)(s, d).T, 0.5, e.slice((0, e.m), (1, 2))))(E(s, d)), S.add((1.5, S.mm(E.sql, fold(3, 1, 0, 64).T.sql)), (0.5, f"(SELECT i, 0 AS j, v FROM {E.sql} WHERE j = 1)")))
+matrix("gemv_t", lambda s, d: (lambda e: vector.gemv("T", 1, e, e.slice((0, e.m), (0, 1))))(E(s, d)), S.mm(E.T.sql, f"(SELECT i, 0 AS j, v FROM {E.sql} WHERE j = 0)"))
 x8, y5 = fold(1, 1, 0, 8).T, fold(2, 1, 0, 5).T
 matrix("ger", lambda s, d: vector.geru(0.7, x8(s, d), y5(s, d), B85(s, d)), S.add((1, B85.sql), (0.7, S.mm(x8.sql, y5.T.sql))))
 
@@ -229,7 +229,7 @@ def _blocks(spark: SparkSession, d: str) -> Matrix:
 
 matrix("gemm_block", _blocks, S.mm(E.T.sql, E.sql))
 matrix("gram_emb", lambda s, d: gemm.tall_gram(read(s, d, "embeddings"), "embedding", 64), S.mm(E.T.sql, E.sql))
-matrix("gram_emb_join", lambda s, d: gemm.gemm("T", "N", 1, E(s, d), E(s, d)), S.mm(E.T.sql, E.sql))
+matrix("gram_emb_join", lambda s, d: (lambda e: gemm.gemm("T", "N", 1, e, e))(E(s, d)), S.mm(E.T.sql, E.sql))
 for u in "UL":
     cond = "j >= i" if u == "U" else "j <= i"
     matrix(f"syrk_{u.lower()}", lambda s, d, u=u: gemm.syrk(u, "T", 1.5, E(s, d), 0.5, S64(s, d)), S.where(S.add((2.0, S.mm(E.T.sql, E.sql)), (0.5, S.eye(64))), cond))
