@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
@@ -14,6 +16,8 @@ from lattica import sqltext as S
 from lattica.functions.number import rounded
 from lattica.matrix import Matrix
 from lattica.operators import gemm, lu, pentagon, qr, reflectors, triangular, vector
+from lattica.plans.lineage import shared_folder
+from lattica.sources import parquet
 from lattica.streaming.gram import streaming_gram
 from lattica.types import lamch
 
@@ -447,6 +451,47 @@ for side, direct, storev in product("LR", "FB", "CR"):
 
         matrix(f"parfb_{name}_{trans.lower()}", parfb, both)
 
+# -- sources and sinks, and what an LU tells ------------------------------------------------------------------------
+
+
+def _written(kind: str) -> Build:
+    """The whole table, written in a form and read again."""
+
+    def build(s: SparkSession, d: str) -> Matrix:
+        from lattica.operators.block import BlockMatrix
+
+        e, path = E(s, d), posixpath.join(shared_folder(s), f"matrix-{uuid.uuid4().hex}")
+        if kind == "entries":
+            parquet.write_entries(e, path)
+            return parquet.read_entries(s, path, e.m, e.n)
+        if kind == "rows":
+            parquet.write_rows(e, path)
+            return parquet.read_rows(s, path, "i", "a", e.n, e.m)
+        parquet.write_blocks(BlockMatrix.from_matrix(e, 32), path)
+        return parquet.read_blocks(s, path, e.m, e.n, 32).to_matrix()
+
+    return build
+
+
+for kind in ("entries", "rows", "blocks"):
+    matrix(f"source_{kind}", _written(kind), E.sql)
+# A matrix whose last column is twice its first has no pivot in the last step.
+_lost = Input(lambda s, d: Matrix(S8(s, d).where(F.col("j") < 7).df.unionByName(S8(s, d).where(F.col("j") == 0).df.select("i", F.lit(7).cast("long").alias("j"), (2 * F.col("v")).alias("v"))), 8, 8), f"(SELECT i, j, v FROM {S8.sql} WHERE j < 7 UNION ALL SELECT i, 7, 2 * v FROM {S8.sql} WHERE j = 0)")
+
+
+def _told(spark: SparkSession, d: str) -> DataFrame:
+    """The step of the first pivot that is zero to rounding, as ``info`` and U's diagonal have it."""
+    out = []
+    for name, a in (("regular", S8(spark, d)), ("singular", _lost(spark, d))):
+        f = lu.lu(a, "row_max")
+        small = f.u.df.where("i = j").where(F.abs("v") >= 1e-9).agg(F.count("*").alias("n")).first()["n"]
+        out.append((name, 0 if small == 8 else small + 1, bool(f.info == 0 or small < 8)))
+    return spark.createDataFrame(out, "what string, step long, info_agrees boolean")
+
+
+_steps = lambda a: f"(SELECT CASE WHEN count(*) = 8 THEN 0 ELSE count(*) + 1 END FROM {S.packed(a, 8, 'row_max')} WHERE i = j AND abs(v) >= 1e-9)"
+register("lu_info", _told, f"SELECT 'regular' AS what, {_steps(S8.sql)}::BIGINT AS step, true AS info_agrees UNION ALL SELECT 'singular', {_steps(_lost.sql)}, true")
+
 # -- whole tables by the ways for sizes beyond one task -----------------------------------------------------------
 
 for u in "UL":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.matrix import Matrix
 from lattica.operators.block import SCHEMA, BlockMatrix
+from lattica.types import require
 
 
 def read_entries(spark: SparkSession, path: str, m: int | None = None, n: int | None = None, check: bool = True) -> Matrix:
@@ -23,6 +24,15 @@ def read_rows(spark: SparkSession, path: str, key: str, array: str, n: int, m: i
     return Matrix.from_rows(spark.read.parquet(path), key, array, n, m)
 
 
+def write_rows(a: Matrix, path: str, mode: str = "errorifexists") -> None:
+    """(i, a): one cell of n numbers a row; rows without entries are written as zeros."""
+    require(not a.complex, "cells hold real numbers")
+    found = a.df.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("x"))
+    cell = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(a.n - 1).cast("long")), lambda j: F.coalesce(F.col("x")[j], F.lit(0.0))) if a.n else F.array().cast("array<double>")
+    rows = a.df.sparkSession.range(a.m).withColumnRenamed("id", "i").join(found, "i", "left")
+    rows.select("i", cell.alias("a")).write.mode(mode).parquet(path)
+
+
 def write_blocks(a: BlockMatrix, path: str, mode: str = "errorifexists") -> None:
     a.df.write.mode(mode).partitionBy("bi").parquet(path)
 
