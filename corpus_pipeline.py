@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate, language, lines, packing, simhash
-from lattica.llm.common import crc_mod, fresh, remove, shared_folder, table
+from lattica.llm.common import crc_mod, fresh, release, remove, shared_folder, table
 
 #: A document goes if its language is ``und`` or less probable than this.
 MIN_LANGUAGE_SCORE = 0.5
@@ -85,5 +85,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(path)
         if k:
             remove(spark, before)
+        release(spark)
         before = path
     return docs

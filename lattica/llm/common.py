@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -36,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of lineage that has been cut: it does when the driver's JVM finds nothing refers to them, which by itself may take half an hour."""
+    gc.collect()  # Python's own references first
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder that is not needed any more, in whatever store it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import chunks, components, cut, fresh, text_key, utf8
+from lattica.llm.common import chunks, components, cut, fresh, release, text_key, utf8
 from lattica.llm.words import mix, words
 
 BITS = 64
@@ -340,6 +340,7 @@ def group(marked: DataFrame, id_column: str = "doc_id", distance: int = DISTANCE
     component_id its least id. Equal fingerprints are one node."""
     own = cut(marked.groupBy("fp").agg(F.min(id_column).alias("_least")))
     roots = components(links(own, distance)).withColumnRenamed("node", "fp")
+    release(marked.sparkSession)
     rooted = cut(own.join(roots, "fp", "left").select("fp", "_least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
     return rooted.join(least, "root").select("fp", "root", "component_id")
@@ -429,10 +430,10 @@ def meet(pairs: DataFrame, nodes: DataFrame, keys: tuple[str, str], node: str, p
     blocks = max(1, math.ceil(math.sqrt(pairs.count() / per)))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     dealt = pairs.withColumn("_ka", block(keys[0])).withColumn("_kb", block(keys[1]))
-    place = F.explode(F.array(*(F.struct(F.col(k).alias("node"), "_ka", "_kb") for k in keys))).alias("p")
-    wanted = dealt.select(place).select("p.*").distinct()
+    first, second = (dealt.select(F.col(k).alias("node"), F.col("_ka").alias("_na"), F.col("_kb").alias("_nb")).distinct() for k in keys)  # combined where the pairs are, before they are sent
+    wanted = first.union(second).distinct()
     sent = wanted.join(nodes.withColumnRenamed(node, "node"), "node")
-    return dealt.groupBy("_ka", "_kb").cogroup(sent.groupBy("_ka", "_kb")).applyInPandas(run, schema)
+    return dealt.groupBy("_ka", "_kb").cogroup(sent.groupBy("_na", "_nb")).applyInPandas(run, schema)
 
 
 def _judge(similarity: float):
@@ -508,7 +509,7 @@ def alike_texts(pairs: DataFrame, marked: DataFrame, texts: DataFrame, similarit
     for c in "ab":
         parts = many.select(F.col("fp").alias(c), F.col("parts").alias(f"p{c}"))
         pairs = pairs.join(parts, c, "left").withColumn(f"p{c}", F.explode(F.sequence(F.lit(0), F.coalesce(f"p{c}", F.lit(1)) - 1)))
-    pairs = pairs.where("a <> b or pa <= pb").select("a", "b", name("a", "pa").alias("na"), name("b", "pb").alias("nb"))
+    pairs = cut(pairs.where("a <> b or pa <= pb").select("a", "b", name("a", "pa").alias("na"), name("b", "pb").alias("nb")))
     judged = cut(meet(pairs, distinct, ("na", "nb"), "node", SKETCH_PAIRS, _judge(similarity), f"a long, b long, ra {kind}, rb {kind}, sure boolean"))
     open_ = judged.where("not sure").drop("sure")
     rows = open_.select(F.explode(F.array("ra", "rb")).alias("row")).distinct()
@@ -532,6 +533,7 @@ def join_groups(marked: DataFrame, texts: DataFrame, groups: DataFrame, reach: i
     shared = [F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in ("root", "m1", "m2")]
     nodes = cut(own.groupBy(F.col("near").alias("fp")).agg(*shared))
     pairs = cut(links(nodes, reach, int(reach > 7), unlike=UNLIKE).unionByName(nodes.where("root is null").select(F.col("fp").alias("a"), F.col("fp").alias("b"))))
+    release(marked.sparkSession)
     involved = cut(own.drop("m1", "m2").join(pairs.select(F.explode(F.array("a", "b")).alias("near")).distinct(), "near", "left_semi"))
     keys = involved.select("key")
     held = F.broadcast(keys) if involved.count() <= BROADCAST_ROWS else keys
@@ -551,6 +553,7 @@ def join_groups(marked: DataFrame, texts: DataFrame, groups: DataFrame, reach: i
     equal = drawn.groupBy("fp", "content").agg(F.min("root").alias("a"))
     edges = edges.unionByName(drawn.join(equal, ["fp", "content"]).select("a", F.col("root").alias("b")))
     merged = components(edges).toDF("root", "final")
+    release(marked.sparkSession)
     return cut(groups.join(merged, "root", "left").select("fp", F.coalesce("final", "root").alias("root")))
 
 
