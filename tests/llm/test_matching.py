@@ -2,6 +2,7 @@
 
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -164,6 +165,38 @@ def test_pipeline_deletes_the_end_of_a_run(spark, sizes):
     assert out[1] == "own 1\nlast 1" and out[2] == "own 2\nlast 2" and passage in out[0]
 
 
+def by_sql(docs, sql):
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    return {r[0]: r[1:] for r in db.execute(sql).fetchall()}
+
+
+def test_runs_query_deletes_runs_to_their_last_line(spark, tmp_path):
+    """Beside op7_lines, whose SQL fixes forward windows: by the SQL of maximal runs, blank lines in them included."""
+    from lattica.llm import queries
+
+    line = lambda k, n: " ".join(f"p{k}x{j}" for j in range(n))
+    passages = [[25, 25, 3], [60, 40], [3, 25, 25], [50, 1, 50, 1], [60, 0, 60, 0, 0, 50, 49], [0, 60, 0]]
+    texts = ["\n".join(line(f"{k}y{j}", n) if n else " \t" * (j % 2) for j, n in enumerate(p)) for k, p in enumerate(passages)]
+    docs = [(10 * d + k, f"own {d} {k}\n{t}\n\nlast {d} {k}\n{t if d == 2 else ''}") for d in range(3) for k, t in enumerate(texts)] + [(100, None), (101, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in queries.op7_runs(spark, str(tmp_path)).collect()}
+    assert got == by_sql(docs, queries.RUNS_SQL)
+    assert got[10][1] == "own 1 0\n\nlast 1 0\n" and got[14][1] == "own 1 4\n\nlast 1 4\n"
+    fewer = {r["doc_id"]: r["n_removed"] for r in queries.op7_lines(spark, str(tmp_path)).collect()}
+    assert fewer[10] == 2 and got[10][0] == 3
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_runs_query_equals_its_sql(spark, sf):
+    from lattica.llm import queries
+
+    folder = f"/root/testdata/sf{sf}"
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    assert {r["doc_id"]: (r["n_removed"], r["text"]) for r in queries.op7_runs(spark, folder).collect()} == by_sql(docs, queries.RUNS_SQL)
+
+
 # -- decontamination of other scripts, and without moving rows ----------------------------------------------------
 
 
